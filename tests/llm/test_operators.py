@@ -1,0 +1,338 @@
+"""Each corpus operator against brute force, and on awkward tables.
+
+The awkward table has nulls in every column, empty, blank and long texts,
+repeated rows and columns whose names clash with the operators' own.
+"""
+
+import gzip
+import hashlib
+import io
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lexweave.llm import chat, decontaminate, langid, packing, simhash, substrings, topk, toxicity, urls, warc
+from lexweave.llm.queries import URL_RULES, tokenizer_path
+
+DOCS = "doc_id long, text string, lang string, id string, key int, slot int, rank int, component long"
+
+
+def awkward(spark, texts=()):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    base = " ".join(rng.choice(words) for _ in range(120))
+    long = " ".join(rng.choice(words) for _ in range(20_000))
+    rows = [base, base, base + " tail more", None, "", " \t\n", "one", "One TWO", long, "x " * 90, "café ﬁ Σ", *texts]
+    rows += [" ".join(rng.choice(words) for _ in range(60)) + " " + base[:300] for _ in range(4)]
+    data = [(k, x, "en", "c", 1, 2, 3, 4) for k, x in enumerate(rows)]
+    data += [data[0], data[0], (None, base, None, None, None, None, None, None), (None, "null id", None, None, None, None, None, None)]
+    return spark.createDataFrame(data, DOCS)
+
+
+def rows_of(frame):
+    return [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
+
+
+def test_simhash(spark):
+    frame = awkward(spark)
+    got = simhash.near_duplicates(frame)
+
+    def fingerprint(text):
+        words = (text or "").encode().lower().split()
+        if not words:
+            return 0
+        n = min(3, len(words))
+        hashes = [xxhash.xxh64_intdigest(b" ".join(words[k : k + n]), 42) for k in range(len(words) - n + 1)]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    expected = Counter((i, fingerprint(t)) for i, t in rows_of(frame))
+    found = got.collect()
+    assert Counter((r.id, r.fingerprint % (1 << 64)) for r in found) == expected
+    prints = sorted({p for _, p in expected})
+    root = {p: p for p in prints}
+    for a in prints:
+        for b in prints:
+            if (a ^ b).bit_count() <= 2 and root[a] != root[b]:
+                old, new = root[a], root[b]
+                root = {k: new if v == old else v for k, v in root.items()}
+    for r in found:
+        ids = [i for i, p in expected if root[p] == root[r.fingerprint % (1 << 64)] and i is not None]
+        assert r.component == min(ids, default=None)
+    assert simhash.near_duplicates(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("bits", "limit"), [(2, 8192), (2, 4), (1, 2), (4, 8192)])
+def test_links_keep_components(spark, bits, limit):
+    rng = random.Random(3)
+    prints = set()
+    for _ in range(12):
+        centre = rng.getrandbits(64)
+        prints |= {centre} | {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, bits + 1))) for _ in range(30)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    frame = spark.createDataFrame([(signed(p),) for p in prints], "fingerprint long")
+    links = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.fingerprint_links(frame, bits, limit).collect()]
+
+    def classes(pairs):
+        root = {p: p for p in prints}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        groups = {}
+        for p in prints:
+            groups.setdefault(find(p), set()).add(p)
+        return sorted(map(sorted, groups.values()))
+
+    assert all((a ^ b).bit_count() <= bits for a, b in links)
+    assert classes(links) == classes([(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= bits])
+
+
+def brute_repeats(rows, window=35):
+    split = [(i, (t or "").encode().split()) for i, t in rows]
+    counts = Counter(tuple(w[k : k + window]) for _, w in split for k in range(len(w) - window + 1))
+    out = []
+    for i, w in split:
+        gone = [False] * len(w)
+        for k in range(len(w) - window + 1):
+            if counts[tuple(w[k : k + window])] > 1:
+                gone[k : k + window] = [True] * window
+        kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((i, len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
+    return Counter(out)
+
+
+def test_substrings(spark):
+    frame = awkward(spark, ["a b c d " * 40, " ".join(map(str, range(50))), "x " + " ".join(map(str, range(5, 50)))])
+    got = substrings.remove_repeats(frame)
+    assert Counter(tuple(r)[:4] for r in got.collect()) == brute_repeats(rows_of(frame))
+    assert substrings.remove_repeats(frame.limit(0)).count() == 0
+
+
+def test_substrings_in_batches(spark):
+    frame = awkward(spark)
+    index = substrings.FingerprintIndex.create(spark, fanout=2)
+    for k in range(3):
+        entries = index.append(frame.where(F.coalesce("doc_id", F.lit(0)) % 3 == k))
+    assert len(index.runs) < 3
+    spans = substrings.repeated_windows(frame, index, entries)
+    flagged = {(r.rid, r.rkey) for r in spans.collect()}
+    expected = {(i, n > 0) for i, _, n, _ in brute_repeats(rows_of(frame)) if n}
+    assert {i for i, _ in flagged} == {i for i, _ in expected}
+
+
+def test_decontamination(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    first, second = " ".join(item.split()[:10]), " ".join(item.split()[10:])
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, "other words that never occur in any of the documents here")], "item_id long, text string")
+    frame = awkward(spark, ["noise " + item.upper() + " noise", f"{second}, and then {first}.", " ".join(item.split()[:6])])
+    texts = dict(rows_of(frame.where("text ilike '%alpha%' or text ilike '%lambda%'")))
+    got = {(r.id, r.item): (r.covered, r.tiles) for r in decontaminate.contaminated_pairs(frame, bench).collect()}
+    ids = sorted(texts)
+    assert got == {(ids[0], 1): (20, 1), (ids[1], 1): (20, 2)}
+    small = {(r.id, r.item): (r.covered, r.tiles) for r in decontaminate.contaminated_pairs(frame, bench, block_tokens=10).collect()}
+    assert small == got
+    kept = decontaminate.without_contaminated(frame, bench)
+    assert kept.columns == frame.columns and kept.count() == frame.count() - 2
+    assert decontaminate.contaminated_pairs(frame, bench.limit(0)).count() == decontaminate.contaminated_pairs(frame.limit(0), bench).count() == 0
+
+
+def test_tiles_are_greedy():
+    tiles = decontaminate.greedy_tiles([1, 2, 3, 4, 5, 6], [4, 5, 6, -1, 1, 2, 3, 4], 2, 4)
+    assert tiles == [(0, 4, 4), (4, 1, 2)]
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    frame = awkward(spark, ["<|endoftext|> it's", "a\x1cb　c\u00a0d İx"])
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    got = packing.pack(frame, tokenizer_path()).collect()
+    ids = {t: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for _, t in rows_of(frame)}
+    expected, texts = Counter(), Counter((i, len(ids[t])) for i, t in rows_of(frame))
+    for (i, _), t in zip(rows_of(frame), [t for _, t in rows_of(frame)], strict=True):
+        for start, size in packing._cuts(len(ids[t]), 2048):
+            expected[(i, start, size, zlib.crc32(np.array(ids[t][start : start + size], "<u4").tobytes()), len(ids[t]))] += 1
+    assert Counter(tuple(r)[:5] for r in got) == expected and texts
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        parts.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and parts[0][0] == 0 and sum(n for _, n in parts) <= 2048
+    assert packing.pack(frame.limit(0), tokenizer_path()).count() == 0
+
+
+def test_packing_plan_covers_demand():
+    rng = random.Random(1)
+    demand = Counter(rng.randint(1, 128) for _ in range(3000))
+    plan = packing.packing_plan(dict(demand), 256)
+    made = Counter()
+    for pattern, use in plan:
+        assert sum(k * n for k, n in pattern.items()) <= 256
+        made.update({k: n * use for k, n in pattern.items()})
+    assert made == demand
+    assert sum(use for _, use in plan) <= 1.01 * sum(k * n for k, n in demand.items()) / 256 + 1
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "http://a/", "same"), (2, None, "same"), (3, "http://b/\r\nx", None), (4, "u", ""), (5, "u", "été" * 50_000), (None, "n", "same"), (None, "n", "alone"), (2, None, "same")]
+    pages = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, digest string, payload string")
+    read = warc.read_archives(warc.archive_pages(spark, pages)).collect()
+    assert len(read) == len(rows) and all(r.verified for r in read)
+    found = Counter((r.id, r.payload_bytes, r.payload_digest, r.kind, r.refers_to) for r in read)
+    name = lambda k: f"urn:page:{'null' if k is None else k}"
+    expected = Counter()
+    for k, _, html in rows:
+        payload = (html or "").encode()
+        group = [i for i, _, h in rows if (h or "") == (html or "") and i is not None]
+        last = max(group, default=None)
+        expected[(name(k), len(payload), warc.base32_sha1(payload), "response" if last is None or k == last else "revisit", None if last is None or k == last else name(last))] += 1
+    assert found == expected
+    assert warc.read_archives(warc.archive_pages(spark, pages.limit(0))).count() == 0
+
+
+def test_warc_salvage():
+    plain = [warc.record("response", f"urn:{k}", "http://x/", b"payload %d" % k * 50, warc.base32_sha1(b"payload %d" % k * 50)) for k in range(4)]
+    members = [warc.member(x) for x in plain]
+    broken = bytearray(members[1])
+    broken[len(broken) // 2] ^= 0xFF
+    data = members[0] + bytes(broken) + members[2] + b"junk" + plain[3] + members[3][: len(members[3]) // 2]
+    items = list(warc.SalvageReader(io.BytesIO(data), step=97))
+    good = [x.headers["warc-record-id"] for x in items if x.reason is None]
+    gaps = [(x.start, x.end) for x in items if x.reason is not None]
+    assert good == ["<urn:0>", "<urn:2>", "<urn:3>"]
+    a, b, c = len(members[0]), len(members[0]) + len(broken), len(members[0]) + len(broken) + len(members[2])
+    assert gaps == [(a, b), (c, c + 4), (c + 4 + len(plain[3]), len(data))]
+    assert gzip.decompress(members[0]) == plain[0]
+    bad = plain[0].replace(b"payload 0", b"PAYLOAD 0", 1)
+    assert [x.reason for x in warc.SalvageReader(io.BytesIO(bad + plain[1]))] == ["digest mismatch", None]
+
+
+def test_toxicity(spark):
+    rng = random.Random(2)
+    plain = lambda: " ".join(rng.choice(["house", "garden", "river", "stone", "paper", "green", "slow", "walk"]) for _ in range(60))
+    texts = [(plain(), 0) for _ in range(80)] + [(plain() + " you are an idiot and a moron " + plain(), 1) for _ in range(40)]
+    model = toxicity.fit_toxicity(spark.createDataFrame(texts, "text string, toxic int"))
+    frame = awkward(spark, ["you are such an idi0t, a morron " + plain(), plain()])
+    got = {(r.id, round(r.score, 6)) for r in toxicity.score_toxicity(frame, model).collect()}
+    assert toxicity.score_toxicity(frame, model).count() == frame.count() and all(0 <= s <= 1 for _, s in got)
+    scores = dict(got)
+    assert scores[11] >= 0.3 > scores[12]
+    one = toxicity.fit_toxicity(spark.createDataFrame(texts[:5], "text string, toxic int"))
+    assert toxicity.score_toxicity(frame.limit(0), one).count() == 0
+
+
+def test_automaton_against_edit_distance():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    terms = {"ab": 0, "abcd": 1, "abce": 1, "dcbaabcd": 2}
+    automaton = toxicity.LexiconAutomaton(terms)
+    rng = random.Random(4)
+    for _ in range(4000):
+        word = "".join(rng.choice("abcdez") for _ in range(rng.randint(0, 10)))
+        best = min(((distance(word, t), t) for t, k in terms.items() if distance(word, t) <= k), default=None)
+        assert automaton.match(word) == (best and (best[1], best[0]))
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(0)
+    vectors = [(int(k), [float(x) for x in rng.normal(size=8)]) for k in range(300)]
+    vectors += [(300, vectors[20][1]), (20, vectors[20][1]), (301, None), (302, [1.0, None] + [0.0] * 6), (303, [float("nan")] * 8), (304, [float("inf")] * 8), (None, [1.0] * 8), (305, []), (306, [2.0] * 3)]
+    frame = spark.createDataFrame([(*v, 1, 2) for v in vectors], "vec_id long, embedding array<float>, id int, score int")
+    whole = {}
+    for k, (i, v) in enumerate(vectors):
+        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
+            whole[k] = (i, np.pad(np.floor(64 * np.array(v, np.float32).astype(float)), (0, 8 - len(v))))
+    for top in (5, 1000):
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(frame, F.col("id") % 20 == 0, k=top).collect()}
+        expected = {}
+        for q, x in {i: x for i, x in whole.values() if i % 20 == 0}.items():
+            best = sorted(((-int(x @ y), i) for i, y in whole.values() if i != q))[:top]
+            expected |= {(q, n): (i, -s) for n, (s, i) in enumerate(best, 1)}
+        assert got == expected
+    assert topk.top_k(frame.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_language(spark):
+    words = {"en": "the of and that with house from this", "de": "der und nicht das ist haus von mit", "fr": "le la les des est maison avec dans"}
+    rng = random.Random(6)
+    texts = [(" ".join(rng.choice(words[lang].split()) for _ in range(40)), lang) for lang in words for _ in range(30)]
+    labelled = spark.createDataFrame(texts, "text string, lang string")
+    model = langid.fit_centroids(labelled.where("length(text) > 0"))
+    held = spark.createDataFrame([(" ".join(rng.choice(words[lang].split()) for _ in range(12)), lang) for lang in words for _ in range(10)], "text string, lang string")
+    assert held.count() == langid.identify(held, model).where("lang = lang_pred and not lang_rejected").count()
+    frame = awkward(spark, ["1234 !!", "the of and"])
+    got = {(r.doc_id, r.lang_pred, r.lang_rejected) for r in langid.identify(frame, model).collect()}
+    assert {(k, "und", True) for k in (3, 4, 5, 11)} <= got and (12, "en", False) in got
+    assert langid.identify(frame, model).count() == frame.count()
+    empty = langid.fit_centroids(labelled.limit(0))
+    assert {r.lang_pred for r in langid.identify(frame, empty).collect()} == {"und"}
+    assert langid.identify(frame.limit(0), model).count() == 0
+
+
+def test_urls(spark):
+    bad = [f"http://casino-win{k}.xx{k % 3}.biz/a/{k}?q=1&r=2" for k in range(60)]
+    good = [f"https://news.example{k}.org/story/{k}" for k in range(60)]
+    model = urls.fit_url_model(spark.createDataFrame([(u, 1.0) for u in bad] + [(u, 0.0) for u in good], "url string, label double"))
+    cases = {
+        "http://a.com": (None, "a.com", ""),
+        "http://A.COM/x": ("com/", "a.com", "/x"),
+        "http://example.com/en/1": ("example.com/en/", "example.com", "/en/1"),
+        "http://www.Example.com/en/?a": ("www.example.com/en/", "www.example.com", "/en/"),
+        "http://notexample.com/en/": ("com/", "notexample.com", "/en/"),
+        "https://x.net/fr/1#b": ("net/fr/", "x.net", "/fr/1"),
+        "ftp://h?x://y/z": (None, "h", ""),
+        "nothing": (None, "", ""),
+        "": (None, "", ""),
+        None: (None, "", ""),
+        bad[0]: (None, "casino-win0.xx0.biz", "/a/0"),
+        good[0]: (None, "news.example0.org", "/story/0"),
+    }
+    frame = spark.createDataFrame([(k, u, "h", "p", 1.0) for k, u in enumerate(cases)] + [(None, None, None, None, None)], "page_id long, url string, host string, path string, score double")
+    rows = {r.id: r for r in urls.filter_urls(frame, model, URL_RULES).collect()}
+    for k, (rule, host, path) in enumerate(cases.values()):
+        assert (rows[k].rule, rows[k].host, rows[k].path) == (rule, host, path)
+    last = len(cases)
+    assert rows[last - 2].verdict == "block" and rows[last - 1].verdict == "allow" and rows[None].verdict == "allow"
+    one = urls.fit_url_model(urls.weak_labels(frame.limit(0)))
+    assert urls.filter_urls(frame.limit(0), one, URL_RULES).count() == 0
+
+
+def test_tool_calls(spark):
+    schema = {"add": {"type": "object", "properties": {"a": {"type": "integer", "minimum": 0}, "b": {"type": "number"}}, "required": ["a"], "additionalProperties": False}}
+    calls = [(1, 0, "c1", "add", '{"b": 2.5, "a": 1}', []), (1, 1, "c2", "add", '{"a": -1, "z": 0}', ["c1"]), (1, 2, "c3", "none", "{}", ["c2", "c1"]), (1, 3, "c4", "add", "not json", ["c5"]), (1, 3, "c5", "add", None, ["c4"]), (1, 9, "c1", "add", "{}", []), (None, 0, "c1", "add", "{}", []), (2, 0, None, "add", "{}", []), (2, 5, "c1", "add", '{"a": true}', ["gone"])]
+    results = [(1, 4, "c1", "é"), (1, 5, "c1", "again"), (1, 4, "c9", None), (2, 1, "c1", "early")]
+    c = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, after array<string>")
+    r = spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string")
+    got = {(x.conv_id, x.call_id): x for x in chat.link_calls(c, r, schema).collect()}
+    state = {k: (x.status, x.level, x.valid, x.n_calls, x.n_results) for k, x in got.items()}
+    assert state == {
+        (1, "c1"): ("linked", 0, True, 2, 2),
+        (1, "c2"): ("unanswered", 1, False, 1, 0),
+        (1, "c3"): ("unanswered", 2, False, 1, 0),
+        (1, "c4"): ("cyclic", None, False, 1, 0),
+        (1, "c5"): ("cyclic", None, False, 1, 0),
+        (1, "c9"): ("orphan", None, False, 0, 1),
+        (2, "c1"): ("early", 0, False, 1, 1),
+    }
+    assert got[(1, "c1")].json == '{"arguments":{"a":1,"b":2.5},"id":"c1","name":"add","result":"é"}'
+    assert got[(1, "c2")].errors == ["$.a: range", "$.z: unknown"]
+    assert chat.link_calls(c.limit(0), r.limit(0), schema).count() == 0
+    messages = spark.createDataFrame([(1, 0, "assistant", '{"tool_calls":[{"id":"k","name":"add","arguments":{"a":3}}]}'), (1, 1, "tool", '{"tool_call_id":"k","content":"3"}'), (1, 2, "user", None)], "conv_id long, turn long, role string, text string")
+    (x,) = chat.link_calls(*chat.parse_messages(messages), schema).collect()
+    assert (x.status, x.valid, x.json) == ("linked", True, '{"arguments":{"a":3},"id":"k","name":"add","result":"3"}')

@@ -1,0 +1,34 @@
+"""The pipeline's stages on the smallest tables, and the queries' SQL."""
+
+import os
+import sys
+from pathlib import Path
+
+import pytest
+
+import corpus_pipeline
+from lexweave.llm import queries
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+from test_entry import DIR, same  # noqa: E402
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_against_sql(spark, name):
+    same(spark, name, queries.QUERIES, queries.ORACLE_SQL)
+
+
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    columns, kept = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, DIR).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == columns
+        ids = [r.doc_id for r in docs.select("doc_id").collect()]
+        assert len(ids) == len(set(ids)) and set(ids) <= kept and len(ids) > 0.5 * len(kept)
+        kept = set(ids)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == kept
