@@ -84,14 +84,22 @@ class CentroidModel:
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[str], k: int = CENTROIDS) -> CentroidModel:
-        pairs = [(counts, label) for (counts, letters), label in zip(map(ngram_counts, texts), labels, strict=True) if letters]
-        languages = sorted({label for _, label in pairs})
-        if not pairs:
+        # One matrix, filled and weighted in place: it is what the fit holds.
+        vectors, kept = np.zeros((len(texts), BUCKETS), np.float32), []
+        for text, label in zip(texts, labels, strict=True):
+            counts, letters = ngram_counts(text)
+            if letters:
+                vectors[len(kept)] = counts
+                kept.append(label)
+        languages, vectors = sorted(set(kept)), vectors[: len(kept)]
+        if not kept:
             return cls([], np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.ones(BUCKETS, np.float32), np.zeros(0))
-        counts = np.array([x for x, _ in pairs])
-        idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 0.1
-        vectors = _unit(np.log1p(counts) * idf)
-        own = np.array([languages.index(label) for _, label in pairs])
+        idf = np.log((1 + len(kept)) / (1 + np.count_nonzero(vectors, axis=0))).astype(np.float32) + np.float32(0.1)
+        np.log1p(vectors, out=vectors)
+        vectors *= idf
+        for row in vectors:
+            row /= max(float(np.linalg.norm(row)), 1e-12)
+        own = np.array([languages.index(label) for label in kept])
         centres, owner, limits = [], [], []
         for j in range(len(languages)):
             mine = vectors[own == j]
