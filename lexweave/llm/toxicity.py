@@ -165,18 +165,23 @@ def induce_lexicon(texts: list[str], labels: list[int], least: int = 4, ratio: f
     A stem stands for the words that begin with it if most of them are marks;
     clean words in reach of the automaton are listed so as to spare them.
     """
-    toxic, clean, n = Counter(), Counter(), [0, 0]
-    stems = (Counter(), Counter())
+    toxic, clean, n = Counter(), Counter(), [labels.count(0), labels.count(1)]
+    stems, floor = (Counter(), Counter()), max(least, 0.01 * n[1])
     for text, label in zip(texts, labels, strict=True):
-        words = set(tokens_of(text))
-        n[label] += 1
-        (toxic if label else clean).update(words)
-        stems[label].update({word[:k] for word in words for k in range(5, len(word) + 1)})
-    if not n[0] or not n[1]:
-        return Lexicon({term: 1.0 for term in SEED_TERMS})
+        if label:
+            words = set(tokens_of(text))
+            toxic.update(words)
+            stems[1].update({word[:k] for word in words for k in range(5, len(word) + 1)})
+    stems = ({}, Counter({stem: count for stem, count in stems[1].items() if count >= floor}))
+    near = Counter()
+    for text, label in zip(texts, labels, strict=True):
+        if not label:
+            words = set(tokens_of(text))
+            clean.update(words)
+            near.update({word[:k] for word in words for k in range(5, len(word) + 1) if word[:k] in stems[1]})
+    stems = (near, stems[1])
     odds = lambda a, b: ((a + 0.1) / (n[1] + 0.2)) / ((b + 0.5) / (n[0] + 1))
     terms = {term: 1.0 for term in SEED_TERMS}
-    floor = max(least, 0.01 * n[1])
     for word, count in toxic.items():
         if count >= max(floor, 0.05 * n[1]) and len(word) >= 3 and odds(count, clean[word]) >= 4 * ratio:
             terms[word] = 1.0
