@@ -35,7 +35,7 @@ CAPACITY = 2048
 #: Remainders are rounded up to a multiple of this for the linear program.
 GRAIN = 8
 #: Words whose ids a worker remembers; then it starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 
 
 class WordTokenizer:
@@ -139,7 +139,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     def run(batches):
         tokenizer = _tokenizer(tokenizer_path)
         for batch in batches:
-            for first, _, data, offs in chunks(batch.column(2), 4 << 20):
+            for first, _, data, offs in chunks(batch.column(2), 2 << 20):
                 rows, out = [], ([], [], [], [])
                 ids, bounds = tokenizer.encode(data, offs)
                 for k in range(len(offs) - 1):

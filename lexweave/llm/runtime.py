@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder; sets a checkpoint folder only where none is set."""
@@ -51,5 +53,9 @@ def arrow_map(frame: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with the package shipped to the workers."""
     from lexweave.session import attach
 
-    attach(frame.sparkSession)
+    spark = attach(frame.sparkSession)
+    # Texts can be long: unless the session asks for another number, a batch
+    # has fewer rows than Spark's default, which bounds both sides' buffers.
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, "1000")
     return frame.mapInArrow(function, schema)
