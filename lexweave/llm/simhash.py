@@ -27,17 +27,22 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.components import connected_components
 from lexweave.llm.runtime import arrow_map, text_of, written
+from lexweave.llm.words import mix
 
 BITS = 64
 #: Shingles whose bits are summed at once.
 _BLOCK = 1 << 15
+#: Distance of the hashes of one shingle under consecutive signatures, before mixing.
+_SALT = 0xA24BAED4963EE407
 
 
-def _fingerprint(text: bytes, size: int) -> int:
+def _fingerprint(text: bytes, size: int, signatures: int = 1) -> list[int]:
+    """One fingerprint per signature: the first over the shingles' hashes
+    themselves, the others over independent mixtures of them."""
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return [0] * signatures
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, n) + 1
     ends = np.cumsum(lengths) - 1
@@ -45,28 +50,35 @@ def _fingerprint(text: bytes, size: int) -> int:
     size = min(size, n)
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[: n - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, n - size + 1)
-    ones = np.zeros(BITS, np.int64)
-    for k in range(0, len(hashes), _BLOCK):
-        bits = np.unpackbits(hashes[k : k + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    found = []
+    for number in range(signatures):
+        ones = np.zeros(BITS, np.int64)
+        for k in range(0, len(hashes), _BLOCK):
+            block = hashes[k : k + _BLOCK]
+            block = mix(block + np.uint64(number * _SALT & (1 << 64) - 1)) if number else block
+            bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int64)
+        found.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]))
+    return found
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, signatures: int = 1) -> DataFrame:
     """(id, fingerprint long): bit majority of the shingles' XXH64, seed 42.
 
     Words are runs of bytes other than blanks, A-Z lower-cased; a text of
     fewer words than a shingle is one shingle; one without words has 0.
+    Further signatures, if any, follow as ``fingerprint_1`` and so on.
     """
+    names = ["fingerprint", *(f"fingerprint_{k}" for k in range(1, signatures))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            found = np.fromiter((_fingerprint(x.as_py(), shingle) for x in texts), np.uint64, len(texts))
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fingerprint"])
+            found = np.array([_fingerprint(x.as_py(), shingle, signatures) for x in texts], np.uint64).reshape(-1, signatures)
+            yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in found.T)], names=["id", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), run, f"id {kind}, fingerprint long")
+    return arrow_map(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), run, f"id {kind}, " + ", ".join(f"{x} long" for x in names))
 
 
 def _segments(max_bits: int) -> list[tuple[int, int]]:
@@ -235,11 +247,28 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 2, run_limit: int = 819
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, run_limit: int = 8192) -> DataFrame:
+def _signature_links(rows: DataFrame, name: str, max_bits: int, run_limit: int) -> DataFrame:
+    """Links of another signature, between first fingerprints.
+
+    All first fingerprints that share a value of this signature are linked to
+    the smallest of them, which stands for the value in its links.
+    """
+    pairs = written(rows.select("fingerprint", F.col(name).alias("value")).distinct(), name)
+    stands = written(pairs.groupBy("value").agg(F.min("fingerprint").alias("least")), f"{name}-least")
+    links = fingerprint_links(stands.select(F.col("value").alias("fingerprint")), max_bits, run_limit)
+    for end in ("a", "b"):
+        links = links.join(stands.select(F.col("value").alias(end), F.col("least").alias(f"{end}_least")), end)
+    shared = pairs.join(stands, "value").select(F.col("fingerprint").alias("a"), F.col("least").alias("b"))
+    return links.select(F.col("a_least").alias("a"), F.col("b_least").alias("b")).unionByName(shared).where("a <> b")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, run_limit: int = 8192, signatures: int = 1) -> DataFrame:
     """One row per document: ``(id, fingerprint long, component)``.
 
     ``component`` is the smallest id reachable over links of fingerprints that
-    differ in at most ``max_bits`` bits.
+    differ in at most ``max_bits`` bits.  With more than one of ``signatures``,
+    documents are linked if their fingerprints are near under any of them: each
+    is an independent chance for a pair whose distance scatters about the limit.
 
     * null and empty texts, and texts of blanks only, have fingerprint 0 and
       are linked like any other;
@@ -247,9 +276,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     * repeated rows are repeated in the result; other columns are ignored, so
       their names may clash with ours; an empty table gives an empty result.
     """
-    rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    rows = written(fingerprints(docs, id_col, text_col, shingle, signatures), "fingerprints")
     least = written(rows.groupBy("fingerprint").agg(F.min("id").alias("least")), "distinct")
     links = fingerprint_links(least.select("fingerprint"), max_bits, run_limit)
+    for number in range(1, signatures):
+        links = links.unionByName(_signature_links(rows, f"fingerprint_{number}", max_bits, run_limit))
     roots = connected_components(links)
     joined = roots.join(least, roots.node == least.fingerprint).groupBy("root").agg(F.min("least").alias("component"))
     named = roots.join(joined, "root").select(F.col("node").alias("fingerprint"), "component")
