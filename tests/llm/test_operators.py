@@ -96,6 +96,32 @@ def test_links_keep_components(spark, bits, limit):
     assert classes(links) == classes([(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= bits])
 
 
+def test_signatures(spark):
+    """Near under any signature, against all pairs; unrelated texts stay apart."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    rows = [(900, None), (901, ""), (902, " \t ")]
+    for group in range(12):
+        words = [word() for _ in range(150)]
+        rows.append((10 * group, " ".join(words)))
+        for copy in range(1, 5):
+            words[rng.randrange(150)] = word()
+            rows.append((10 * group + copy, " ".join(words)))
+    rows += rows[:5]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component", F.lit(1))
+    found = simhash.near_duplicates(frame, shingle=2, max_bits=5, signatures=3).collect()
+    prints = {i: simhash._fingerprint((t or "").encode(), 2, 3) for i, t in rows}
+    root = {i: i for i in prints}
+    for a in prints:
+        for b in prints:
+            if root[a] != root[b] and any((x ^ y).bit_count() <= 5 for x, y in zip(prints[a], prints[b], strict=True)):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if v == old else v for k, v in root.items()}
+    assert sorted((r.id, r.component) for r in found) == sorted((i, root[i]) for i, _ in rows)
+    assert len(set(root.values())) == 13
+    assert simhash.near_duplicates(frame.limit(0), signatures=2).count() == 0
+
+
 def brute_repeats(rows, window=35):
     split = [(i, (t or "").encode().split()) for i, t in rows]
     counts = Counter(tuple(w[k : k + window]) for _, w in split for k in range(len(w) - window + 1))
