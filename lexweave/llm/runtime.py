@@ -7,8 +7,10 @@ that setting is absent (unit tests).
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,30 @@ def text_of(column: str):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system, where the allocators can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def _releasing(function):
+    """Workers are reused by later stages, so none may keep what it freed."""
+
+    @wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
 def arrow_map(frame: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with the package shipped to the workers."""
     from lexweave.session import attach
@@ -58,4 +84,4 @@ def arrow_map(frame: DataFrame, function, schema) -> DataFrame:
     # has fewer rows than Spark's default, which bounds both sides' buffers.
     if spark.conf.get(_BATCH_ROWS) == "10000":
         spark.conf.set(_BATCH_ROWS, "1000")
-    return frame.mapInArrow(function, schema)
+    return frame.mapInArrow(_releasing(function), schema)
