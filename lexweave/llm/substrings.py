@@ -36,7 +36,9 @@ from lexweave.llm.runtime import arrow_map, scratch, text_of, written
 from lexweave.llm.words import BLANK_SEPARATED, WordTable, chunks, leftmost_minima
 
 _SALTS = (0, 0xA0761D6478BD642F)
-_ENTRY = "anchor long, range long, id {kind}, key int, first int, windows int"
+_ENTRY = "anchor long, range long, id {kind}, key int, first int, windows int, salt int"
+#: Entries of one anchor in a chunk of text that are dealt out together.
+_TOGETHER = 4
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,6 +46,21 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", F.hash("text").alias("key"), "text")
 
 
+def _salts(anchors: np.ndarray) -> np.ndarray:
+    """Numbers of the groups of ``_TOGETHER`` into which equal anchors fall.
+
+    Frequent anchors are dealt out by these, so that none lands in one task.
+    Group 0 is full wherever there is a group 1.
+    """
+    order = np.argsort(anchors, kind="stable")
+    ordered = anchors[order]
+    opens = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
+    sizes = np.diff(np.concatenate((opens, [len(anchors)])))
+    salts = np.empty(len(anchors), np.int32)
+    salts[order] = (np.arange(len(anchors)) - np.repeat(opens, sizes)) // _TOGETHER
+    return salts
+
+
 def _entries(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,23 +78,28 @@ def _entries(window: int, gram: int):
                 first = starts[opens]
                 rows = table.rows[first]
                 take = pa.array(rows + begin)
+                found = grams[anchors[opens]]
                 yield pa.record_batch(
                     [
-                        pa.array(grams[anchors[opens]].view(np.int64)),
+                        pa.array(found.view(np.int64)),
                         pa.array(table.span_hashes(first, first + counts + window - 1).view(np.int64)),
                         batch.column(0).take(take),
                         batch.column(1).take(take),
                         pa.array((first - table.bounds[rows]).astype(np.int32)),
                         pa.array(counts.astype(np.int32)),
+                        pa.array(_salts(found)),
                     ],
-                    names=["anchor", "range", "id", "key", "first", "windows"],
+                    names=["anchor", "range", "id", "key", "first", "windows", "salt"],
                 )
 
     return run
 
 
 def _mark_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds ``again``: the anchor occurs in a neighbouring entry of the run."""
+    """Adds ``again``: the anchor occurs in a neighbouring entry of the run.
+
+    Salted entries need no neighbour: the others of their chunk lie elsewhere.
+    """
     held, before = None, None
     for batch in batches:
         if not batch.num_rows:
@@ -96,7 +118,8 @@ def _marked(batch: pa.RecordBatch, before, after) -> pa.RecordBatch:
     same[1:-1] = anchors[1:] == anchors[:-1]
     same[0] = before is not None and before == anchors[0]
     same[-1] = after is not None and after == anchors[-1]
-    return pa.record_batch([*batch.columns, pa.array(same[:-1] | same[1:])], names=[*batch.schema.names, "again"])
+    salted = batch.column("salt").to_numpy() > 0
+    return pa.record_batch([*batch.columns, pa.array(same[:-1] | same[1:] | salted)], names=[*batch.schema.names, "again"])
 
 
 @dataclass
@@ -120,7 +143,7 @@ class FingerprintIndex:
 
     def _write(self, entries: DataFrame, level: int) -> None:
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = entries.repartition(parts, "anchor").sortWithinPartitions("anchor", "range")
+        ordered = entries.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "range")
         path = f"{self.path}/run-{uuid.uuid4().hex}"
         arrow_map(ordered, _mark_repeats, self._schema()).write.parquet(path)
         self.runs.append((level, path))

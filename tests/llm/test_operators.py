@@ -143,6 +143,23 @@ def test_substrings(spark):
     assert substrings.remove_repeats(frame.limit(0)).count() == 0
 
 
+def test_frequent_passages(spark):
+    """One passage in many documents of one chunk, so that its anchors are dealt out."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, f"{'head ' * (k % 7)}h{k} {passage} t{k}") for k in range(60)]
+    rows += [(100 + k, " ".join(f"w{k}x{j}" for j in range(80))) for k in range(5)] + [(200, "same " * 400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    anchors = np.array([7, 3, 7, 7, 7, 7, 3, 7], np.uint64)
+    assert substrings._salts(anchors).tolist() == [0, 0, 0, 0, 0, 1, 0, 1]
+    got = substrings.remove_repeats(frame)
+    assert Counter(tuple(r)[:4] for r in got.collect()) == brute_repeats(rows)
+    index = substrings.FingerprintIndex.create(spark, fanout=2)
+    for k in range(3):
+        entries = index.append(frame.where(F.col("doc_id") % 3 == k))
+    expected = {i for i, _, n, _ in brute_repeats(rows) if n}
+    assert {r.rid for r in substrings.repeated_windows(frame, index, entries).collect()} == expected
+
+
 def test_substrings_in_batches(spark):
     frame = awkward(spark)
     index = substrings.FingerprintIndex.create(spark, fanout=2)
