@@ -34,7 +34,7 @@ from lexweave.llm.words import BLANK_SEPARATED, WordTable, chunks
 CAPACITY = 2048
 #: Remainders are rounded up to a multiple of this for the linear program.
 GRAIN = 8
-#: Words whose ids a worker remembers; then it starts anew.
+#: Words of a generation whose ids a worker remembers; it keeps two of them.
 CACHE_WORDS = 300_000
 
 
@@ -44,7 +44,8 @@ class WordTokenizer:
     The tokenizer's pre-tokenizer ends words at white space, so a text's ids
     are those of its blank-separated parts in order.  A chunk's distinct words
     are found by hash, those not met before are tokenised together, and the
-    chunk's ids are gathered from theirs.
+    chunk's ids are gathered from theirs.  Words met since the last change of
+    generation outlive the next one, so frequent words are learned once.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -61,6 +62,7 @@ class WordTokenizer:
         self._ends[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
         self._limit = cache_words
         self._ids: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     def _parts(self, word: str) -> int:
         """How many words the pre-tokenizer makes of a blank-separated one."""
@@ -92,11 +94,15 @@ class WordTokenizer:
         raw = data.tobytes()
         words = [raw[a:b] for a, b in zip(table.starts[at].tolist(), table.ends[at].tolist(), strict=True)]
         if len(self._ids) > self._limit:
-            self._ids.clear()
+            self._ids, self._older = {}, self._ids
         found = list(map(self._ids.get, words))
         new = [word for word, ids in zip(words, found, strict=True) if ids is None]
         if new:
-            self._learn(new)
+            known = list(map(self._older.get, new))
+            self._ids.update((word, ids) for word, ids in zip(new, known, strict=True) if ids is not None)
+            new = [word for word, ids in zip(new, known, strict=True) if ids is None]
+            if new:
+                self._learn(new)
             found = list(map(self._ids.get, words))
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         pool = np.frombuffer(b"".join(found), "<u4")
