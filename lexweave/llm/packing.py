@@ -35,7 +35,9 @@ CAPACITY = 2048
 #: Remainders are rounded up to a multiple of this for the linear program.
 GRAIN = 8
 #: Words of a generation whose ids a worker remembers; it keeps two of them.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 450_000
+#: Texts tokenised at once.
+CHUNK_BYTES = 4 << 20
 
 
 class WordTokenizer:
@@ -135,6 +137,18 @@ def _cuts(total: int, capacity: int) -> Iterator[tuple[int, int]]:
         yield start, total - start
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about a chunk: the more text, the more often a word repeats."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.nbytes for x in held) >= CHUNK_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
     """``(id, copy, start, length, ids_crc32, doc_tokens)`` per piece.
 
@@ -144,8 +158,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         tokenizer = _tokenizer(tokenizer_path)
-        for batch in batches:
-            for first, _, data, offs in chunks(batch.column(2), 2 << 20):
+        for batch in _joined(batches):
+            for first, _, data, offs in chunks(batch.column(2), CHUNK_BYTES):
                 rows, out = [], ([], [], [], [])
                 ids, bounds = tokenizer.encode(data, offs)
                 for k in range(len(offs) - 1):
