@@ -115,14 +115,14 @@ class WordTokenizer:
         return ids, np.concatenate(([0], ends))[table.bounds]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def _tokenizer(path: str) -> WordTokenizer:
+def _tokenizer(path: str, cache_words: int) -> WordTokenizer:
     """One tokenizer, with what it remembers, for each worker process."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    if (path, cache_words) not in _tokenizers:
+        _tokenizers[path, cache_words] = WordTokenizer(path, cache_words)
+    return _tokenizers[path, cache_words]
 
 
 def _cuts(total: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -137,19 +137,19 @@ def _cuts(total: int, capacity: int) -> Iterator[tuple[int, int]]:
         yield start, total - start
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Batches of about a chunk: the more text, the more often a word repeats."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(x.nbytes for x in held) >= CHUNK_BYTES:
+        if sum(x.nbytes for x in held) >= limit:
             yield pa.concat_batches(held)
             held = []
     if held:
         yield pa.concat_batches(held)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, cache_words: int = CACHE_WORDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``(id, copy, start, length, ids_crc32, doc_tokens)`` per piece.
 
     ``copy`` is the piece's document's text hash: it tells texts with one id apart.
@@ -157,9 +157,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tokenizer = _tokenizer(tokenizer_path)
-        for batch in _joined(batches):
-            for first, _, data, offs in chunks(batch.column(2), CHUNK_BYTES):
+        tokenizer = _tokenizer(tokenizer_path, cache_words)
+        for batch in _joined(batches, chunk_bytes):
+            for first, _, data, offs in chunks(batch.column(2), chunk_bytes):
                 rows, out = [], ([], [], [], [])
                 ids, bounds = tokenizer.encode(data, offs)
                 for k in range(len(offs) - 1):
@@ -297,19 +297,20 @@ def _ranked(rows: DataFrame, key: str) -> DataFrame:
     return placed.withColumn("inside", F.row_number().over(inside) - 1).join(before, [key, "part"]).withColumn("rank", F.col("before") + F.col("inside")).drop("part", "before", "inside")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, grain: int = GRAIN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, grain: int = GRAIN, cache_words: int = CACHE_WORDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per piece: ``(id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset)``, all long but the id.
 
     Sequences hold at most ``capacity`` ids without gaps.  A document is
-    cut at multiples of half of it only.
+    cut at multiples of half of it only.  ``cache_words`` and ``chunk_bytes``
+    trade a worker's memory for time; results don't depend on them.
 
     * null and empty texts have the end id alone; very long texts are cut like
       any other; rows that repeat an id are packed like different documents;
     * a null id is kept; other columns are ignored, whatever their names;
     * an empty table gives an empty result.
     """
-    parts = written(pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id), "pieces")
+    parts = written(pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, cache_words, chunk_bytes), "pieces")
     spark = docs.sparkSession
     size = F.ceil(F.col("length") / F.lit(grain)).cast("int")
     parts = parts.withColumn("class", F.when(F.col("length") < capacity, size).otherwise(F.lit(0)))
