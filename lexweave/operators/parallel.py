@@ -74,31 +74,46 @@ def existing_hints(hints: DataFrame, articles: DataFrame) -> DataFrame:
     return hints.withColumn("jo_no", jo_no).join(articles, "jo_no").withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
-def similar_titles(sources: DataFrame, candidates: DataFrame, least: int = 8) -> DataFrame:
+def similar_titles(sources: DataFrame, candidates: DataFrame, least: int = 8, same: bool = False) -> DataFrame:
     """The best candidate of each source by title and shared terms.
 
     ``sources(id, text)``, ``candidates(ordinal, text)``.  A pair scores 8 for
     equal canonical titles, else 6 for containment (six characters at least),
     2 per shared term, and more for company cars.  Only pairs that share a
-    term or a title can reach ``least``, so both are joined by equality and
-    no cross product is formed; containment alone stays under it.
+    term or a title can reach ``least``; containment alone stays under it.
+    The score depends on title and terms alone, so rows are grouped by these
+    before the join: the work grows with the pairs of distinct groups.
+
+    ``same`` tells that both are rows of one table: no row is its own candidate.
     """
 
     def described(rows: DataFrame, key: str, prefix: str) -> DataFrame:
         title = canonical_text(article_title(F.col("text")))
-        return rows.select(F.col(key), title.alias(f"{prefix}_title"), topic_terms(F.col("text")).alias(f"{prefix}_terms"))
+        return rows.select(F.col(key), title.alias(f"{prefix}_title"), topic_terms(F.col("text")).alias(f"{prefix}_terms")).distinct()
 
     left, right = described(sources, "id", "s"), described(candidates, "ordinal", "c")
-    by_term = left.select("id", F.explode("s_terms").alias("t")).join(right.select("ordinal", F.explode("c_terms").alias("t")), "t").select("id", "ordinal")
-    by_title = left.where("s_title <> ''").join(right, F.col("s_title") == F.col("c_title")).select("id", "ordinal")
-    pairs = by_term.unionByName(by_title).distinct().join(left, "id").join(right, "ordinal")
+    # The two smallest of a group are enough: one of them may be the source itself.
+    first = F.row_number().over(Window.partitionBy("c_title", "c_terms").orderBy("ordinal"))
+    right = right.withColumn("n", first).where("n <= 2").groupBy("c_title", "c_terms").agg(F.collect_list("ordinal").alias("ordinals"))
+    kinds = left.select("s_title", "s_terms").distinct()
+    columns = ["s_title", "s_terms", "c_title", "c_terms", "ordinals"]
+    by_term = kinds.withColumn("t", F.explode("s_terms")).join(right.withColumn("t", F.explode("c_terms")), "t").select(columns)
+    by_title = kinds.where("s_title <> ''").join(right, F.col("s_title") == F.col("c_title")).select(columns)
     shared = F.array_intersect("s_terms", "c_terms")
     equal = (F.col("s_title") != "") & (F.col("s_title") == F.col("c_title"))
     contained = (F.length("s_title") >= 6) & (F.col("c_title") != "") & (F.contains(F.col("c_title"), F.col("s_title")) | F.contains(F.col("s_title"), F.col("c_title")))
     car = F.array_contains(shared, "업무용승용차")
     score = F.when(equal, 8).when(contained, 6).otherwise(0) + 2 * F.size(shared) + F.when(car, 4).otherwise(0) + F.when(car & F.array_contains(shared, "필요경비불산입"), 4).otherwise(0)
+    scored = by_term.unionByName(by_title).withColumn("score", score).where(F.col("score") >= least)
+    ranked = scored.select("s_title", "s_terms", "score", F.explode("ordinals").alias("ordinal")).groupBy("s_title", "s_terms", "ordinal").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("s_title", "s_terms").orderBy(F.desc("score"), "ordinal")
+    best = ranked.withColumn("n", F.row_number().over(order)).where("n <= 2").select(F.col("s_title").alias("b_title"), F.col("s_terms").alias("b_terms"), "ordinal", "score")
+    # As structs: from equal columns Spark infers a filter whose column is not there.
+    pairs = left.join(best, F.struct("s_title", "s_terms") == F.struct("b_title", "b_terms"))
+    if same:
+        pairs = pairs.where("id <> ordinal")
     order = Window.partitionBy("id").orderBy(F.desc("score"), "ordinal")
-    return pairs.withColumn("score", score).where(F.col("score") >= least).withColumn("n", F.row_number().over(order)).where("n = 1").select("id", "ordinal", "score")
+    return pairs.withColumn("n", F.row_number().over(order)).where("n = 1").select("id", "ordinal", "score")
 
 
 def keyword_matches(articles: DataFrame, keywords: list[str], top: int = 20) -> DataFrame:

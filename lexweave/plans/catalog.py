@@ -238,6 +238,18 @@ def title_similarity_top1(spark, sf_dir):
     return parallel.similar_titles(rows.where("ordinal % 50 = 0").withColumnRenamed("ordinal", "id"), rows.where("ordinal % 50 <> 0"))
 
 
+@_query(f"""with {_TITLED_SQL},
+p as (select s.ordinal as id, d.ordinal, case when s.title <> '' and s.title = d.title then 8 when length(s.title) >= 6 and d.title <> '' and (contains(d.title, s.title) or contains(s.title, d.title)) then 6 else 0 end
+  + 2 * len(list_intersect(s.terms, d.terms)) + case when list_contains(list_intersect(s.terms, d.terms), '업무용승용차') then 4 else 0 end
+  + case when list_contains(list_intersect(s.terms, d.terms), '업무용승용차') and list_contains(list_intersect(s.terms, d.terms), '필요경비불산입') then 4 else 0 end as score from d s join d on d.ordinal <> s.ordinal),
+r as (select id, arg_min({{'ordinal': ordinal, 'score': score}}, {{'worse': -score, 'ordinal': ordinal}}) as best from p where score >= 8 group by id)
+select id, best.ordinal as ordinal, cast(best.score as integer) as score from r""")
+def title_similarity_all(spark, sf_dir):
+    """Every part's article against all others."""
+    rows = _titled(spark, sf_dir)
+    return parallel.similar_titles(rows.withColumnRenamed("ordinal", "id"), rows, same=True)
+
+
 @_query("""select doc_id as ordinal from documents where contains(coalesce(source, '') || coalesce(text, ''), 'entre') or contains(regexp_replace(coalesce(source, '') || coalesce(text, ''), '\\s+', '', 'g'), 'entre') order by doc_id limit 20""")
 def keyword_filter_top20(spark, sf_dir):
     """A top-20 report."""

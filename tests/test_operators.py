@@ -102,3 +102,27 @@ def test_json_round_trips(spark, tmp_path):
     assert freshness.compare(back, back, back).count() == 0
     assert statutes.read_manifest(spark, str(tmp_path / "none")).count() == 0
     assert json.loads(back.toJSON().first())["enforced"] == "20260101"
+
+
+def test_similar_titles(spark):
+    """Every row against all others but itself, by brute force."""
+    names = ["업무용승용차", "필요경비불산입", "감가상각", "이월결손금"]
+    titles = ["업무용승용차의 필요경비불산입", "업무용승용차 필요경비불산입 특례", "감가상각", "이월결손금", "", "기타 규정"]
+    rows = [(k, f"제{k}조({titles[k % 6]})\n{names[k % 4]} {names[k // 5 % 4]}" if k % 7 else f"제{k}조 {names[k % 4]}") for k in range(60)] + [(60, None), (61, "제61조(혼자만의 제목)\n")]
+    frame = spark.createDataFrame(rows, "ordinal long, text string")
+    columns = ["ordinal", terms.canonical_text(terms.article_title(F.col("text"))).alias("title"), terms.topic_terms(F.col("text")).alias("terms")]
+    described = [(i, t, set(w)) for i, t, w in frame.where("text is not null").select(*columns).collect()]
+
+    def score(a, b):
+        shared = a[2] & b[2]
+        points = 8 if a[1] and a[1] == b[1] else 6 if len(a[1]) >= 6 and b[1] and (a[1] in b[1] or b[1] in a[1]) else 0
+        car = names[0] in shared
+        return points + 2 * len(shared) + 4 * car + 4 * (car and names[1] in shared)
+
+    expected = {}
+    for a in described:
+        found = [(-score(a, b), b[0]) for b in described if a[0] != b[0] and score(a, b) >= 8]
+        if found:
+            expected[a[0]] = (min(found)[1], -min(found)[0])
+    got = parallel.similar_titles(frame.withColumnRenamed("ordinal", "id"), frame, same=True).collect()
+    assert {r.id: (r.ordinal, r.score) for r in got} == expected and len(got) == len(expected) > 30
