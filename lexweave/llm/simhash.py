@@ -17,6 +17,7 @@ the components with as many rows as variants.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -36,20 +37,27 @@ _BLOCK = 1 << 15
 _SALT = 0xA24BAED4963EE407
 
 
-def _fingerprint(text: bytes, size: int, signatures: int = 1) -> list[int]:
-    """One fingerprint per signature: the first over the shingles' hashes
-    themselves, the others over independent mixtures of them."""
+def _shingles(text: bytes, size: int) -> np.ndarray:
+    """XXH64, seed 42, of each shingle; a text of fewer words is one shingle."""
     words = text.lower().split()
     n = len(words)
     if not n:
-        return [0] * signatures
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, n) + 1
     ends = np.cumsum(lengths) - 1
     starts = ends - lengths + 1
     size = min(size, n)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[: n - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, n - size + 1)
+    return np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[: n - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, n - size + 1)
+
+
+def _fingerprint(text: bytes, size: int, signatures: int = 1) -> list[int]:
+    """One fingerprint per signature: the first over the shingles' hashes
+    themselves, the others over independent mixtures of them."""
+    hashes = _shingles(text, size)
+    if not len(hashes):
+        return [0] * signatures
     found = []
     for number in range(signatures):
         ones = np.zeros(BITS, np.int64)
@@ -286,3 +294,72 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = roots.join(joined, "root").select(F.col("node").alias("fingerprint"), "component")
     labels = least.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("component", "least").alias("component"))
     return rows.join(labels, "fingerprint").select("id", "fingerprint", "component")
+
+
+def _heads(sets: list[np.ndarray], least: Fraction) -> list[int]:
+    """The first of each component of "Jaccard similarity at least ``least``".
+
+    Breadth-first search through lists of the sets that hold a shingle: what
+    is found leaves the search, and all pairs are compared only where no two
+    sets are similar.
+    """
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    holders = np.repeat(np.arange(len(sets)), sizes)[order]
+    bounds = np.searchsorted(code[order], np.arange(len(values) + 1))
+    left = np.ones(len(sets), bool)
+    heads = []
+    for head in range(len(sets)):
+        if not left[head]:
+            continue
+        left[head] = False
+        heads.append(head)
+        frontier = [head]
+        while frontier and left.any():
+            node = frontier.pop()
+            mine = code[ends[node] - sizes[node] : ends[node]]
+            begin, count = bounds[mine], bounds[mine + 1] - bounds[mine]
+            at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            common = np.bincount(holders[at], minlength=len(sets))
+            found = np.flatnonzero(left & (common * least.denominator >= (sizes + sizes[node] - common) * least.numerator))
+            left[found] = False
+            frontier += found.tolist()
+    return heads
+
+
+def similar_heads(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``(hash)`` of the first text of each verified near-duplicate group.
+
+    ``rows(group long, id, hash long, text)``: within a group, texts are linked
+    if their sets of shingles have a Jaccard similarity of ``least`` or more;
+    of each component the text with the smallest id and hash is listed.  Every
+    pair of a group counts, not only those that a fingerprint links.  Texts
+    without words are alike.  One group's shingles are held by one task.
+    """
+    ratio = Fraction(str(least))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, hashes, sets = None, [], []
+
+        def closed():
+            return pa.record_batch([pa.array([hashes[k] for k in _heads(sets, ratio)], pa.int64())], names=["hash"])
+
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary())
+            for now, value, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
+                if now != group:
+                    if sets:
+                        yield closed()
+                    group, hashes, sets = now, [], []
+                if hashes and hashes[-1] == value:  # a repeated row
+                    continue
+                hashes.append(value)
+                sets.append(np.unique(_shingles(text.as_py(), shingle)))
+        if sets:
+            yield closed()
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(parts, "group").sortWithinPartitions("group", "id", "hash").select("group", "hash", text_of("text").alias("text"))
+    return arrow_map(ordered, run, "hash long")

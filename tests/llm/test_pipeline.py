@@ -1,13 +1,14 @@
 """The pipeline's stages on the smallest tables, and the queries' SQL."""
 
 import os
+import random
 import sys
 from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
-from lexweave.llm import queries
+from lexweave.llm import queries, simhash
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from test_entry import DIR, same  # noqa: E402
@@ -32,3 +33,44 @@ def test_stages(spark, tmp_path):
         kept = set(ids)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == kept
+
+
+def test_near_copies_are_verified(spark):
+    """Of texts that fingerprints put together, only those over 0.8 are dropped."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    rows = [(900, None), (901, ""), (902, "one two"), (903, "One Two"), (None, "no id"), (None, "no id")]
+    for group in range(8):
+        base = [word() for _ in range(200)]
+        for copy, edits in enumerate((0, 1, 2, 4, 6, 8)):
+            words = list(base)
+            for at in rng.sample(range(200), edits):
+                words[at] = word()
+            rows.append((10 * group + copy, " ".join(words)))
+    rows.append((5, rows[8][1]))
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    def components(linked):
+        root = list(range(len(texts)))
+        for a in range(len(texts)):
+            for b in range(a):
+                if root[a] != root[b] and linked(a, b):
+                    old, new = root[a], root[b]
+                    root = [new if x == old else x for x in root]
+        return root
+
+    texts = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    sets = [shingles(t) for _, t in texts]
+    prints = [simhash._fingerprint((t or "").encode(), corpus_pipeline.NEAR_SHINGLE, corpus_pipeline.NEAR_SIGNATURES) for _, t in texts]
+    loose = components(lambda a, b: any((x ^ y).bit_count() <= corpus_pipeline.NEAR_BITS for x, y in zip(prints[a], prints[b], strict=True)))
+    similar = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    strict = components(lambda a, b: loose[a] == loose[b] and similar(a, b))
+    firsts = {strict[k]: texts[k] for k in reversed(range(len(texts)))}
+    assert len(set(loose)) < len(set(strict)) < len(texts) - 8
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_copies(spark, frame, DIR).collect())
+    assert got == sorted((i is not None, i or 0, t or "") for i, t in firsts.values())
+    assert corpus_pipeline.near_copies(spark, frame.limit(0), DIR).count() == 0
