@@ -15,7 +15,9 @@ Verification has two steps.  Where all occurrences of an anchor agree on the
 hash of the whole range, every window of it repeats.  Where they differ (ends
 of a shared passage, edits), the windows of one representative per distinct
 range are hashed twice, with independent salts, and counted with the range's
-multiplicity, so that thousands of copies cost as much as two.
+multiplicity, so that thousands of copies cost as much as two.  A range of an
+earlier batch may have to be hashed for a later one, so an index that is kept
+stores its texts, compressed, beside the runs.
 """
 
 from __future__ import annotations
@@ -131,6 +133,7 @@ class FingerprintIndex:
     window: int = 35
     gram: int = 8
     fanout: int = 4
+    keep_texts: bool = True
     runs: list[tuple[int, str]] = field(default_factory=list)
     _kind: str = "bigint"
 
@@ -156,11 +159,17 @@ class FingerprintIndex:
         elsewhere in the batch or in an older run, from either side."""
         self._kind = docs.schema[id_col].dataType.simpleString()
         keyed = _keyed(docs, id_col, text_col)
+        if self.keep_texts:
+            _packed(docs, id_col, text_col).write.mode("append").parquet(f"{self.path}/texts")
         self._write(arrow_map(keyed.select("id", "key", "text"), _entries(self.window, self.gram), _ENTRY.format(kind=self._kind)), 0)
         met = self.repeated()
         self.compact()
         return met
 
+    def texts(self) -> DataFrame:
+        """(id, key, body) of every text that was appended."""
+        return self.spark.read.schema(f"id {self._kind}, key int, body binary").parquet(f"{self.path}/texts")
+
     def repeated(self) -> DataFrame:
         """Entries of all runs whose anchor occurs at least twice in the index."""
         columns = ["anchor", "range", "id", "key", "first", "windows"]
@@ -243,8 +252,8 @@ def repeated_windows(docs: DataFrame, index: FingerprintIndex, entries: DataFram
     """``(rid, rkey, spans)`` per text with repeated windows.
 
     A span lists ``windows`` windows from word ``first`` on; bit i of ``mask``
-    tells whether the i-th repeats.  ``docs`` must hold every text of the
-    index that ``entries`` name.
+    tells whether the i-th repeats.  ``docs`` must hold every text that
+    ``entries`` name unless the index keeps texts; then these are read.
     """
     entries = written(entries, "entries")
     ranges = entries.groupBy("anchor", "range").agg(F.count("*").alias("copies"), F.min(F.struct("id", "key", "first", "windows")).alias("rep"))
@@ -254,7 +263,8 @@ def repeated_windows(docs: DataFrame, index: FingerprintIndex, entries: DataFram
     mixed = ranges.join(kinds.where("kinds > 1"), "anchor").select(F.col("rep.id").alias("rid"), F.col("rep.key").alias("rkey"), F.struct("anchor", "range", "copies", "rep.first", "rep.windows").alias("range"))
     mixed = mixed.groupBy("rid", "rkey").agg(F.collect_list("range").alias("ranges"))
     # Rows that repeat an id and text would list a range twice: one is enough.
-    texts = _join_texts(mixed, _packed(docs, id_col, text_col), "inner").select("body", "ranges")
+    packed = index.texts() if index.keep_texts else _packed(docs, id_col, text_col)
+    texts = _join_texts(mixed, packed, "inner").select("body", "ranges")
     windows = written(arrow_map(texts, _expand(index.window), "low long, high long, anchor long, range long, copies long, step int").distinct(), "windows")
     twice = windows.groupBy("low", "high").agg(F.sum("copies").alias("n")).where("n > 1").select("low", "high")
     partial = windows.join(twice, ["low", "high"]).groupBy("anchor", "range").agg(F.bit_or(F.expr("shiftleft(1L, step)")).alias("mask"))
@@ -303,7 +313,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Removes each word that lies in a window of ``window`` words whose sequence
     also starts elsewhere (another document or the same one).  Words are runs
     of bytes other than blanks.  ``kept`` is the text as it was if nothing is
-    removed, else the kept words joined by one space.
+    removed, else the kept words joined by one space.  With an ``index``, all
+    texts appended to it before count as elsewhere, and ``docs`` joins them.
 
     * null texts have no words; texts shorter than a window lose none; very
       long texts are windowed whole, in linear time;
@@ -311,9 +322,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
       are kept and treated like any id; other columns are ignored, whatever
       their names; an empty table gives an empty result.
     """
-    index = index or FingerprintIndex.create(docs.sparkSession, window=window, gram=gram)
+    index = index or FingerprintIndex.create(docs.sparkSession, window=window, gram=gram, keep_texts=False)
     entries = index.append(docs, id_col, text_col)
     spans = repeated_windows(docs, index, entries, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = _join_texts(spans, _packed(docs, id_col, text_col), "left").select("id", "body", "spans")
-    return arrow_map(rows, _rewrite(window), f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    return arrow_map(rows, _rewrite(index.window), f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")

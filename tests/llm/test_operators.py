@@ -172,6 +172,29 @@ def test_substrings_in_batches(spark):
     assert {i for i, _ in flagged} == {i for i, _ in expected}
 
 
+def test_removal_against_history(spark):
+    """Each batch against itself and all before it; passages that batches share
+    lie within different texts, so that their ranges end differently."""
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    passages = [words(n) for n in (34, 35, 36, 50, 55, 60, 120)]
+    batches = []
+    for k in range(5):
+        rows = [(100 * k + n, f"{words(rng.randrange(40))} {p} {words(rng.randrange(40))}") for n, p in enumerate(passages)]
+        rows += [(100 * k + 50, words(90)), (100 * k + 51, None), (100 * k + 52, "few words")]
+        batches.append(rows)
+    batches[3] += [(None, passages[4] + " end"), batches[0][3]]
+    index = substrings.FingerprintIndex.create(spark, fanout=3)
+    for k, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        got = Counter(tuple(r)[:4] for r in substrings.remove_repeats(frame, index=index).collect())
+        before = [r for batch in batches[:k] for r in batch]
+        expected = brute_repeats(before + rows)
+        ids = {i for i, _ in rows}
+        assert {r: n for r, n in got.items()} == {r: sum(i == r[0] for i, _ in rows) for r in expected if r[0] in ids}
+    assert len(index.runs) < 5
+
+
 def test_decontamination(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     first, second = " ".join(item.split()[:10]), " ".join(item.split()[10:])
