@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from lexweave.llm.runtime import arrow_map, scratch, text_of, written
 from lexweave.llm.words import BLANK_SEPARATED, WordTable, chunks, leftmost_minima
@@ -200,18 +201,25 @@ class FingerprintIndex:
             level += 1
 
 
-def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, body): texts compressed for the shuffle."""
-    keyed = _keyed(docs, id_col, text_col)
-    kind = keyed.schema["id"].dataType.simpleString()
+def _packed(docs: DataFrame, id_col: str, text_col: str, others: Sequence[str] = ()) -> DataFrame:
+    """(id, key, body): texts compressed for the shuffle.
+
+    Columns named in ``others`` follow as one struct, ``others``.
+    """
+    columns = [F.col(id_col).alias("id"), F.hash(text_of(text_col)).alias("key"), text_of(text_col).alias("body")]
+    if others:
+        columns.append(F.struct(*(F.col(f"`{x}`") for x in others)).alias("others"))
+    keyed = docs.select(columns)
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([squeeze(x.as_py()) for x in texts], pa.binary())], names=["id", "key", "body"])
+            bodies = pa.array([squeeze(x.as_py()) for x in texts], pa.binary())
+            yield pa.record_batch([*batch.columns[:2], bodies, *batch.columns[3:]], names=batch.schema.names)
 
-    return arrow_map(keyed, run, f"id {kind}, key int, body binary")
+    schema = StructType([*keyed.schema.fields[:2], StructField("body", BinaryType()), *keyed.schema.fields[3:]])
+    return arrow_map(keyed, run, schema)
 
 
 def _expand(window: int):
@@ -302,14 +310,16 @@ def _rewrite(window: int):
                 kept = b" ".join(words)
                 for column, value in zip(out, (len(words) + removed, removed, hashlib.sha256(kept).hexdigest(), (kept if removed else body).decode()), strict=True):
                     column.append(value)
-            yield pa.record_batch([batch.column("id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.record_batch([batch.column("id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string()), *batch.columns[3:]], names=["id", "n_words", "n_removed", "kept_sha256", "kept", *batch.schema.names[3:]])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8, index: FingerprintIndex | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8, index: FingerprintIndex | None = None, others: Sequence[str] = ()) -> DataFrame:
     """One row per document: ``(id, n_words, n_removed, kept_sha256, kept)``.
 
+    With ``others``, a struct of that name follows: these columns of the same row.
+
     Removes each word that lies in a window of ``window`` words whose sequence
     also starts elsewhere (another document or the same one).  Words are runs
     of bytes other than blanks.  ``kept`` is the text as it was if nothing is
@@ -325,6 +335,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     index = index or FingerprintIndex.create(docs.sparkSession, window=window, gram=gram, keep_texts=False)
     entries = index.append(docs, id_col, text_col)
     spans = repeated_windows(docs, index, entries, id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = _join_texts(spans, _packed(docs, id_col, text_col), "left").select("id", "body", "spans")
-    return arrow_map(rows, _rewrite(index.window), f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    packed = _packed(docs, id_col, text_col, others)
+    rows = _join_texts(spans, packed, "left").select("id", "body", "spans", *packed.columns[3:])
+    made = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), StructField("kept", StringType())]
+    return arrow_map(rows, _rewrite(index.window), StructType([rows.schema["id"], *made, *rows.schema.fields[3:]]))

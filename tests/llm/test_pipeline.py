@@ -74,3 +74,22 @@ def test_near_copies_are_verified(spark):
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_copies(spark, frame, DIR).collect())
     assert got == sorted((i is not None, i or 0, t or "") for i, t in firsts.values())
     assert corpus_pipeline.near_copies(spark, frame.limit(0), DIR).count() == 0
+
+
+def test_passages_of_rows_that_share_an_id(spark):
+    """Rows of one id, or of none, stay apart and keep their own columns."""
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(i, f"{n} own text {n} " + (passage if n % 2 else ""), f"l{n}", f"s{n}", 1) for n, i in enumerate([1, 1, 1, None, None, None, None, 2])]
+    rows += [(3, passage, "l8", "s8", 1), (None, None, "l9", "s9", None), (2, rows[-1][1], "l10", "s10", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.repeated_passages(spark, frame, DIR)
+    assert got.columns == frame.columns
+
+    def kept(n, text):
+        return f"{n} own text {n}" if n % 2 else text
+
+    # Of the passage alone and of the two rows that are equal nothing is left.
+    expected = [(i, kept(n, t), lang, source) for n, (i, t, lang, source, _) in enumerate(rows[:7])] + [(None, "", "l9", "s9")]
+    found = [tuple(r)[:4] for r in got.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+    assert all(r.n_chars == len(r.text) for r in got.collect())
