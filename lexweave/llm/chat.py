@@ -3,6 +3,11 @@
 Calls and results are gathered per conversation and identifier, hash-joined,
 put in topological order of the calls they depend on, checked against the
 tools' schemas and written as canonical JSON (sorted keys, no blanks, UTF-8).
+
+Chains of calls with one prerequisite each are followed by pointer doubling,
+so that a conversation of any length takes a logarithmic number of rounds;
+calls with several are ordered level by level.  All joins are by conversation
+and identifier, so a long conversation is not one task's.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.runtime import arrow_map, written
+from lexweave.llm.runtime import stored, stored_map, written
 
 #: What the operator reads.
 CALLS = "conv_id, turn long, call_id string, name string, arguments string (JSON), after array<string>"
@@ -84,33 +89,60 @@ def check_arguments(name: str | None, arguments: str | None, schemas: dict[str,
     return value, violations(value, schemas[name])
 
 
+def _chained(chain: DataFrame) -> DataFrame:
+    """``(conv_id, call_id, up, dist, done)`` of ``(conv_id, call_id, up)``:
+    for each call with one prerequisite the first call up its chain that has
+    none or several, and the steps to it; not ``done`` on cycles."""
+    known = chain.select("conv_id", F.col("call_id").alias("up"), F.lit(True).alias("goes_on"))
+    state = stored(chain.join(known, ["conv_id", "up"], "left").select("conv_id", "call_id", "up", F.lit(1).alias("dist"), F.col("goes_on").isNull().alias("done")), "chains")
+    left = None
+    while True:  # the steps that are known double in each round
+        waiting = state.frame.where("not done").count()
+        if waiting in (0, left):
+            return state.frame
+        left = waiting
+        ahead = state.frame.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("dist").alias("more"), F.col("done").alias("arrived"))
+        moved = state.frame.where("not done").join(ahead, ["conv_id", "up"]).select("conv_id", "call_id", F.col("next").alias("up"), (F.col("dist") + F.col("more")).alias("dist"), F.col("arrived").alias("done"))
+        following = stored(state.frame.where("done").unionByName(moved), "chains")
+        state.drop()
+        state = following
+
+
 def _levels(calls: DataFrame) -> DataFrame:
     """``(conv_id, call_id, level)``: 0 without prerequisites, else one more
     than the highest; null on cycles and behind them."""
-    nodes = calls.select("conv_id", "call_id")
-    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("call.after")).alias("needs")).where("needs is not null")
-    known = nodes.withColumnRenamed("call_id", "needs")
-    edges = written(edges.join(known, ["conv_id", "needs"]), "edges")
-    if edges.isEmpty():
+    both = ["conv_id", "call_id"]
+    nodes = calls.select(both)
+    needs = calls.select(*both, F.explode(F.array_distinct("call.after")).alias("needs")).where("needs is not null")
+    edges = stored(needs.join(nodes.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"]), "edges")
+    if not edges.rows:
         return nodes.withColumn("level", F.lit(0))
-    waiting = edges
-    heads = edges.select("conv_id", "call_id").distinct()
-    done = written(nodes.join(heads, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    level = 0
-    while True:  # one round for each level of dependency
-        level += 1
-        waiting = written(waiting.join(done.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti"), "waiting")
-        open_calls = waiting.select("conv_id", "call_id").distinct()
-        ready = nodes.join(done, ["conv_id", "call_id"], "left_anti").join(open_calls, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level))
-        ready = written(ready, "ready")
-        if ready.isEmpty():
+    degrees = written(edges.frame.groupBy(both).agg(F.count("*").alias("n"), F.min("needs").alias("up")), "degrees")
+    chains = _chained(degrees.where("n = 1").select(*both, "up"))
+    roots = nodes.join(degrees.select(both), both, "left_anti").withColumn("level", F.lit(0))
+    # Calls with several prerequisites wait for the ends of these chains.
+    forks = edges.frame.join(degrees.where("n > 1").select(both), both, "left_semi")
+    ends = chains.select("conv_id", F.col("call_id").alias("needs"), "up", "dist", "done")
+    waiting = stored(forks.join(ends, ["conv_id", "needs"], "left").select(*both, F.coalesce("up", "needs").alias("up"), F.coalesce("dist", F.lit(0)).alias("dist"), F.coalesce("done", F.lit(True)).alias("done")), "forks")
+    known = roots
+    if waiting.rows:
+        known = written(roots, "levels")
+    while waiting.rows:  # one round for each level of calls with several
+        base = known.select("conv_id", F.col("call_id").alias("up"), "level")
+        met = waiting.frame.join(base, ["conv_id", "up"], "left").withColumn("open", F.col("level").isNull() | ~F.col("done"))
+        judged = met.groupBy(both).agg(F.max("open").alias("open"), (F.max(F.col("level") + F.col("dist")) + 1).alias("level"))
+        ready = stored(judged.where("not open").select(*both, "level"), "ready")
+        if not ready.rows:
             break
-        done = done.unionByName(ready)
-    return nodes.join(done, ["conv_id", "call_id"], "left")
+        known = known.unionByName(ready.frame)
+        waiting = stored(waiting.frame.join(ready.frame.select(both), both, "left_anti"), "forks")
+    base = known.select("conv_id", F.col("call_id").alias("up"), F.col("level").alias("base"))
+    followed = chains.where("done").join(base, ["conv_id", "up"]).select(*both, (F.col("base") + F.col("dist")).alias("level"))
+    return nodes.join(known.unionByName(followed), both, "left")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per conversation and identifier:
+    """One row per conversation and identifier, as a written table:
 
     ``(conv_id, call_id, call_turn, result_turn, name, status, level, valid,
     errors array<string>, n_calls, n_results, json)``.
@@ -162,26 +194,38 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
             yield pa.record_batch([*(batch.column(x) for x in columns), pa.array(valid, pa.bool_()), pa.array(errors, pa.list_(pa.string())), pa.array(texts, pa.string())], names=[*columns, "valid", "errors", "json"])
 
     kind = rows.schema["conv_id"].dataType.simpleString()
-    return arrow_map(rows, run, f"conv_id {kind}, call_id string, call_turn long, result_turn long, name string, status string, level int, n_calls long, n_results long, valid boolean, errors array<string>, json string")
+    return stored_map(rows, run, f"conv_id {kind}, call_id string, call_turn long, result_turn long, name string, status string, level int, n_calls long, n_results long, valid boolean, errors array<string>, json string", "linked").frame
 
 
-#: The schema of the calls that :func:`exchanges` makes of plain turns.
+#: The schemas of the calls that :func:`exchanges` makes of plain turns.
 EXCHANGE_SCHEMAS = {
     "reply": {
         "type": "object",
-        "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}},
+        "properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": 300}, "turn": {"type": "integer", "minimum": 0}},
         "required": ["prompt", "turn"],
         "additionalProperties": False,
-    }
+    },
+    "setup": {
+        "type": "object",
+        "properties": {"instruction": {"type": "string", "minLength": 1, "maxLength": 300}, "turn": {"type": "integer", "minimum": 0}},
+        "required": ["instruction", "turn"],
+        "additionalProperties": False,
+    },
 }
 
 
 def exchanges(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Plain conversations as calls and results: each user turn calls for a
-    reply, the assistant's next turn is its result; other roles are neither."""
-    rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    """Plain conversations as calls and results.
+
+    Each user turn calls for a reply, the assistant's next turn is its result;
+    a system turn is a call that sets the conversation up.  A call depends on
+    the calls among the two turns before it: with the assistant's turns between
+    them, a conversation is one chain of calls.  Other roles are neither.
+    """
+    rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("words"), "text")
     name = lambda turn: F.concat(F.lit("turn-"), turn.cast("string"))
-    arguments = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), "turn"))
-    calls = rows.where("role = 'user'").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.array().cast("array<string>").alias("after"))
-    results = rows.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    turn, user = F.col("turn"), F.col("role") == "user"
+    arguments = F.when(user, F.to_json(F.struct(F.col("words").alias("prompt"), "turn"))).otherwise(F.to_json(F.struct(F.col("words").alias("instruction"), "turn")))
+    calls = rows.where("role in ('user', 'system')").select("conv_id", "turn", name(turn).alias("call_id"), F.when(user, "reply").otherwise("setup").alias("name"), arguments.alias("arguments"), F.array(name(turn - 1), name(turn - 2)).alias("after"))
+    results = rows.where("role = 'assistant'").select("conv_id", "turn", name(turn - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results

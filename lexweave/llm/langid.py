@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.runtime import arrow_map, text_of
-from lexweave.llm.sampling import per_class_sample
+from lexweave.llm.runtime import arrow_map, stored_map, text_of
+from lexweave.llm.sampling import class_sample, placed
 
 BUCKETS = 1 << 13
-#: Labelled rows that are drawn of each language.
+#: Labelled texts that are drawn of each language, at most.
 PER_LANGUAGE = 1000
 CENTROIDS = 4
 UNKNOWN = "und"
@@ -128,11 +128,14 @@ class CentroidModel:
         return [self.languages[j] if n else UNKNOWN for j, n in zip(language, letters, strict=True)], score, rejected
 
 
-def fit_centroids(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> CentroidModel:
-    """Fits on about ``per_language`` rows of each non-null language."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample, _ = per_class_sample(rows, "lang", "text", per_language)
-    return CentroidModel.fit([r.text for r in sample], [r.lang for r in sample], centroids)
+def fit_centroids(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, id_col: str = "doc_id") -> CentroidModel:
+    """Fits on at most ``per_language`` texts of each non-null language, drawn
+    by the hash of id and text (of the text alone without such a column)."""
+    ident = F.col(id_col) if id_col in labelled.columns else F.lit(None).cast("long")
+    rows = labelled.select(ident.alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = placed(rows, "id")
+    sample, _ = class_sample(rows, rows, "lang", "text", per_language)
+    return CentroidModel.fit([text for _, text, _ in sample], [lang for lang, _, _ in sample], centroids)
 
 
 def identify(docs: DataFrame, model: CentroidModel, text_col: str = "text") -> DataFrame:
@@ -144,10 +147,22 @@ def identify(docs: DataFrame, model: CentroidModel, text_col: str = "text") -> D
     * repeated rows are kept; columns of these three names are replaced; an
       empty table, or a model fitted on no rows, is no error.
     """
+    return arrow_map(*_identified(docs, model, text_col))
+
+
+def identified(docs: DataFrame, model: CentroidModel, text_col: str = "text", names: list[str] | None = None) -> DataFrame:
+    """:func:`identify`, written to the shared folder by the same workers;
+    ``names`` are the columns of ``docs`` that are kept, else all."""
+    return stored_map(*_identified(docs, model, text_col, names), "languages").frame
+
+
+def _identified(docs: DataFrame, model: CentroidModel, text_col: str, names: list[str] | None = None) -> tuple:
+    """Frame, function and schema of :func:`identify`."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(model)  # centroids x buckets, whatever the corpus
     added = ("lang_pred", "lang_score", "lang_rejected")
-    kept = docs.drop(*added)
+    rows = docs.withColumn("lexweave_text", text_of(text_col))
+    kept = docs.select(names if names is not None else docs.columns).drop(*added)
 
     def run(batches):
         model = shared.value
@@ -163,4 +178,4 @@ def identify(docs: DataFrame, model: CentroidModel, text_col: str = "text") -> D
     schema = kept.schema
     for name, kind in zip(added, ("string", "double", "boolean"), strict=True):
         schema = schema.add(name, kind)
-    return arrow_map(kept.withColumn("lexweave_text", text_of(text_col)), run, schema)
+    return rows.select(*schema.names[: -len(added)], "lexweave_text"), run, schema

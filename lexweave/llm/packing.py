@@ -25,10 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.runtime import arrow_map, text_of, written
+from lexweave.llm.runtime import Stored, stored_map, text_of, written
 from lexweave.llm.words import BLANK_SEPARATED, WordTable, chunks
 
 CAPACITY = 2048
@@ -149,17 +150,19 @@ def _joined(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, cache_words: int = CACHE_WORDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``(id, copy, start, length, ids_crc32, doc_tokens)`` per piece.
+def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, cache_words: int = CACHE_WORDS, chunk_bytes: int = CHUNK_BYTES) -> Stored:
+    """Written ``(id, part, row, start, length, ids_crc32, doc_tokens)``.
 
-    ``copy`` is the piece's document's text hash: it tells texts with one id apart.
+    ``part`` and ``row`` number the pieces by the task that wrote them and
+    their order there: ranks that are taken from them later don't depend on
+    how the table is split when it is read.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tokenizer = _tokenizer(tokenizer_path, cache_words)
+        tokenizer, part, done = _tokenizer(tokenizer_path, cache_words), TaskContext.get().partitionId(), 0
         for batch in _joined(batches, chunk_bytes):
-            for first, _, data, offs in chunks(batch.column(2), chunk_bytes):
+            for first, _, data, offs in chunks(batch.column(1), chunk_bytes):
                 rows, out = [], ([], [], [], [])
                 ids, bounds = tokenizer.encode(data, offs)
                 for k in range(len(offs) - 1):
@@ -170,12 +173,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                         rows.append(first + k)
                         for column, value in zip(out, (start, size, check if start + size < total else zlib.crc32(end, check), total), strict=True):
                             column.append(value)
-                take = pa.array(rows, pa.int64())
-                yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int64()) for x in out)], names=["id", "copy", "start", "length", "ids_crc32", "doc_tokens"])
+                place = [pa.array(np.full(len(rows), part, np.int32)), pa.array(done + np.arange(len(rows)))]
+                done += len(rows)
+                yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), *place, *(pa.array(x, pa.int64()) for x in out)], names=["id", "part", "row", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select("id", F.xxhash64("text").alias("copy"), "text")
-    return arrow_map(texts, run, f"id {kind}, copy long, start long, length long, ids_crc32 long, doc_tokens long")
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    return stored_map(texts, run, f"id {kind}, part int, row long, start long, length long, ids_crc32 long, doc_tokens long", "pieces")
 
 
 # --- The cutting-stock solver, on a histogram of length classes ---------------
@@ -287,14 +291,13 @@ def packing_plan(demand: dict[int, int], capacity: int) -> list[tuple[Counter, i
 
 
 def _ranked(rows: DataFrame, key: str) -> DataFrame:
-    """Adds ``rank`` from 0 within ``key``: earlier partitions' counts plus the
-    place in the own partition.  ``rows`` must be a written table."""
-    placed = rows.withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part", key).orderBy("id", "copy", "start")
-    counts = placed.groupBy(key, "part").agg(F.count("*").alias("n"))
+    """Adds ``rank`` from 0 within ``key``: the counts of the parts before plus
+    the place in the own part."""
+    inside = Window.partitionBy("part", key).orderBy("row")
+    counts = rows.groupBy(key, "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select(F.col(key), "part", F.coalesce("before", F.lit(0)).alias("before"))
-    return placed.withColumn("inside", F.row_number().over(inside) - 1).join(before, [key, "part"]).withColumn("rank", F.col("before") + F.col("inside")).drop("part", "before", "inside")
+    return rows.withColumn("inside", F.row_number().over(inside) - 1).join(before, [key, "part"]).withColumn("rank", F.col("before") + F.col("inside")).drop("before", "inside")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, grain: int = GRAIN, cache_words: int = CACHE_WORDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -310,7 +313,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     * a null id is kept; other columns are ignored, whatever their names;
     * an empty table gives an empty result.
     """
-    parts = written(pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, cache_words, chunk_bytes), "pieces")
+    parts = pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, cache_words, chunk_bytes).frame
     spark = docs.sparkSession
     size = F.ceil(F.col("length") / F.lit(grain)).cast("int")
     parts = parts.withColumn("class", F.when(F.col("length") < capacity, size).otherwise(F.lit(0)))
@@ -331,6 +334,6 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     lists = slots.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("low", "high", "base", "each"))).alias("slots"))
     placed = ranked.join(F.broadcast(lists), "class").withColumn("slot", F.expr("filter(slots, s -> s.low <= rank and rank < s.high)[0]"))
     placed = placed.withColumn("sequence_id", (F.col("slot.base") + F.floor((F.col("rank") - F.col("slot.low")) / F.col("slot.each"))).cast("long"))
-    placed = written(placed.select("id", "copy", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"), "placed")
-    order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "id", "copy", "start").rowsBetween(Window.unboundedPreceding, -1)
+    placed = written(placed.select("id", "part", "row", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"), "placed")
+    order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "part", "row").rowsBetween(Window.unboundedPreceding, -1)
     return placed.select("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long").alias("offset"))

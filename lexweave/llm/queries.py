@@ -39,7 +39,7 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    model = urls.fit_url_model(urls.weak_labels(pages))
+    model = urls.fit_url_model(urls.labelled_urls(pages, URL_RULES))
     return urls.filter_urls(pages, model, URL_RULES).withColumnRenamed("id", "page_id")
 
 
@@ -58,7 +58,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(~held_out() & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    model = toxicity.fit_toxicity(docs.join(labels, "doc_id"))
+    model = toxicity.fit_toxicity(docs, labels)
     scored = toxicity.score_toxicity(docs, model).withColumnRenamed("id", "doc_id")
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
@@ -73,14 +73,14 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.remove_repeats(_table(spark, sf_dir, "documents"), window=35)
+    found = substrings.remove_repeats(_table(spark, sf_dir, "documents"), window=35, texts=False)
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit_centroids(docs.where(~held_out() & F.col("lang").isNotNull()))
-    found = langid.identify(docs.select("doc_id", "text"), model)
+    found = langid.identified(docs.select("doc_id", "text"), model, names=["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
@@ -93,20 +93,24 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')"
 #: DuckDB SQL of the queries that SQL expresses.
 ORACLE_SQL: dict[str, str] = {
     "op2_tool_calls": """
-with u as (select conv_id, 'turn-' || turn as call_id, count(*) as n_calls, min({'turn': turn, 'name': 'reply', 'text': coalesce(text, '')}) as c
-           from conversations where role = 'user' and conv_id is not null and turn is not null group by 1, 2),
+with u as (select conv_id, 'turn-' || turn as call_id, count(*) as n_calls,
+                  min({'turn': turn, 'name': case when role = 'user' then 'reply' else 'setup' end, 'text': coalesce(text, '')}) as c
+           from conversations where role in ('user', 'system') and conv_id is not null and turn is not null group by 1, 2),
+o as (select conv_id, call_id, sum(case when gap <= 2 then 0 else 1 end) over (partition by conv_id order by turn) as chain, turn
+      from (select conv_id, call_id, c.turn as turn, c.turn - lag(c.turn) over (partition by conv_id order by c.turn) as gap from u)),
+l as (select conv_id, call_id, row_number() over (partition by conv_id, chain order by turn) - 1 as level from o),
 a as (select conv_id, 'turn-' || (turn - 1) as call_id, count(*) as n_results, min({'turn': turn, 'content': text}) as r
       from conversations where role = 'assistant' and conv_id is not null and turn is not null group by 1, 2)
 select conv_id, call_id, c.turn as call_turn, r.turn as result_turn, c.name as name,
        case when c is null then 'orphan' when r is null then 'unanswered' when r.turn < c.turn then 'early' else 'linked' end as status,
-       cast(case when c is null then null else 0 end as integer) as level,
+       cast(level as integer) as level,
        coalesce(n_calls, 0) as n_calls, coalesce(n_results, 0) as n_results,
-       c is not null and length(c.text) > 0 and c.turn >= 0 as valid,
-       case when c is null then '' else concat_ws('; ', case when length(c.text) = 0 then '$.prompt: length' end, case when c.turn < 0 then '$.turn: range' end) end as errors,
-       '{"arguments":' || case when c is null then 'null' else '{"prompt":' || cast(to_json(c.text) as varchar) || ',"turn":' || c.turn || '}' end
+       c is not null and length(c.text) between 1 and 300 and c.turn >= 0 as valid,
+       case when c is null then '' else concat_ws('; ', case when length(c.text) not between 1 and 300 then case c.name when 'reply' then '$.prompt: length' else '$.instruction: length' end end, case when c.turn < 0 then '$.turn: range' end) end as errors,
+       '{"arguments":' || case when c is null then 'null' else '{"' || case c.name when 'reply' then 'prompt' else 'instruction' end || '":' || cast(to_json(c.text) as varchar) || ',"turn":' || c.turn || '}' end
          || ',"id":' || cast(to_json(call_id) as varchar) || ',"name":' || coalesce('"' || c.name || '"', 'null')
          || ',"result":' || coalesce(cast(to_json(r.content) as varchar), 'null') || '}' as json
-from u full join a using (conv_id, call_id)
+from u full join a using (conv_id, call_id) left join l using (conv_id, call_id)
 """,
     "op5_warc": """
 with p as (select page_id, sha1(encode(coalesce(html, ''))) as hex, octet_length(encode(coalesce(html, ''))) as n from pages),

@@ -12,12 +12,16 @@ which reports a spanning forest and never all pairs.  Fingerprints of longer
 runs are linked exactly through their full ``max_bits``-wildcard variants:
 all that share one are within the distance, so a star to the smallest keeps
 the components with as many rows as variants.
+
+With several signatures, all of them share one index: a signature's number is
+part of the variant's slot.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -27,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.components import connected_components
-from lexweave.llm.runtime import arrow_map, text_of, written
+from lexweave.llm.runtime import arrow_map, stored, stored_map, text_of, written
 from lexweave.llm.words import mix
 
 BITS = 64
 #: Shingles whose bits are summed at once.
 _BLOCK = 1 << 15
+#: Text of a group of candidates that one task compares.
+PART_BYTES = 8 << 20
 #: Distance of the hashes of one shingle under consecutive signatures, before mixing.
 _SALT = 0xA24BAED4963EE407
 
@@ -70,13 +76,8 @@ def _fingerprint(text: bytes, size: int, signatures: int = 1) -> list[int]:
     return found
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, signatures: int = 1) -> DataFrame:
-    """(id, fingerprint long): bit majority of the shingles' XXH64, seed 42.
-
-    Words are runs of bytes other than blanks, A-Z lower-cased; a text of
-    fewer words than a shingle is one shingle; one without words has 0.
-    Further signatures, if any, follow as ``fingerprint_1`` and so on.
-    """
+def _fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, signatures: int) -> tuple:
+    """Frame, function and schema of :func:`fingerprints`."""
     names = ["fingerprint", *(f"fingerprint_{k}" for k in range(1, signatures))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +87,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in found.T)], names=["id", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), run, f"id {kind}, " + ", ".join(f"{x} long" for x in names))
+    return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), run, f"id {kind}, " + ", ".join(f"{x} long" for x in names)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, signatures: int = 1) -> DataFrame:
+    """(id, fingerprint long): bit majority of the shingles' XXH64, seed 42.
+
+    Words are runs of bytes other than blanks, A-Z lower-cased; a text of
+    fewer words than a shingle is one shingle; one without words has 0.
+    Further signatures, if any, follow as ``fingerprint_1`` and so on.
+    """
+    return arrow_map(*_fingerprints(docs, id_col, text_col, shingle, signatures))
 
 
 def _segments(max_bits: int) -> list[tuple[int, int]]:
@@ -96,16 +107,16 @@ def _segments(max_bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _variants(prints: DataFrame, max_bits: int) -> DataFrame:
-    """(slot, rest, fingerprint): every one-wildcard variant of each segment."""
+def _variants(values: DataFrame, max_bits: int) -> DataFrame:
+    """(slot, rest, value): every one-wildcard variant of each segment."""
     slots = []
     for low, width in _segments(max_bits):
-        segment = F.shiftrightunsigned("fingerprint", low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+        segment = F.shiftrightunsigned("value", low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
         for bit in range(width):
             wildcard = ~(1 << bit) & ((1 << 64) - 1)
             wildcard -= (wildcard >> 63) << 64
-            slots.append(F.struct(F.lit(low + bit).alias("slot"), segment.bitwiseAND(F.lit(wildcard)).alias("rest")))
-    return prints.select(F.inline(F.array(*slots)), "fingerprint")
+            slots.append(F.struct((F.col("signature") * BITS + F.lit(low + bit)).alias("slot"), segment.bitwiseAND(F.lit(wildcard)).alias("rest")))
+    return values.select(F.inline(F.array(*slots)), "value")
 
 
 class _Linker:
@@ -123,6 +134,7 @@ class _Linker:
         Each pair belongs to one slot: the first segment with one differing
         bit at most, there that bit, or the lowest if none differs.
         """
+        slot %= BITS
         k = self.segment[slot]
         found = np.bitwise_count(x) <= self.max_bits
         if slot not in self.lowest:
@@ -156,15 +168,16 @@ def _scan_runs(max_bits: int, run_limit: int):
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         overflow = False  # the run that is open has passed the limit
 
-        def emit(left, right):
+        def emit(slots, left, right):
             a, b = np.asarray(left, np.uint64), np.asarray(right, np.uint64)
-            return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            signature = (np.asarray(slots, np.int64) // BITS).astype(np.int32)
+            return pa.record_batch([pa.array(signature), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["signature", "a", "b"])
 
         def closed(slot, rest, prints):
             edge = np.flatnonzero((slot[1:] != slot[:-1]) | (rest[1:] != rest[:-1])) + 1
             starts = np.concatenate(([0], edge))
             sizes = np.diff(np.concatenate((starts, [len(slot)])))
-            left, right = [], []
+            slots, left, right = [], [], []
             for lag in range(1, 16):  # short runs at once, by distance in the run
                 at = np.repeat(np.where((sizes > lag) & (sizes <= 16), sizes - lag, 0), 1)
                 if not at.any():
@@ -175,13 +188,15 @@ def _scan_runs(max_bits: int, run_limit: int):
                 for s in np.unique(slot[first]):
                     ours = slot[first] == s
                     good = first[ours][linker.near(x[ours], int(s))]
+                    slots += slot[good].tolist()
                     left += prints[good].tolist()
                     right += prints[good + lag].tolist()
             for k in np.flatnonzero(sizes > 16):
                 l, r = linker.forest(prints[starts[k] : starts[k] + sizes[k]], int(slot[starts[k]]))
+                slots += [int(slot[starts[k]])] * len(l)
                 left += l
                 right += r
-            return emit(left, right)
+            return emit(slots, left, right)
 
         for batch in batches:
             if not batch.num_rows:
@@ -196,7 +211,7 @@ def _scan_runs(max_bits: int, run_limit: int):
             if tail:  # what was kept ends here
                 head = int(np.flatnonzero((slot != slot[0]) | (rest != rest[0]))[0])
                 if overflow:
-                    yield emit(prints[:head], prints[:head])
+                    yield emit(slot[:head], prints[:head], prints[:head])
                     body = (slot[head:tail], rest[head:tail], prints[head:tail])
                     parts = []
                 else:
@@ -209,12 +224,12 @@ def _scan_runs(max_bits: int, run_limit: int):
                 kept, overflow = [], False
             end = (slot[tail:], rest[tail:], prints[tail:])
             if overflow:
-                yield emit(end[2], end[2])
+                yield emit(end[0], end[2], end[2])
                 continue
             kept.append(end)
             if sum(len(x[0]) for x in kept) > run_limit:  # marked by a loop, linked below
                 for part in kept:
-                    yield emit(part[2], part[2])
+                    yield emit(part[0], part[2], part[2])
                 kept, overflow = [(end[0][:1], end[1][:1], end[2][:1])], True
         if kept and not overflow:
             yield closed(*(np.concatenate(x) for x in zip(*kept, strict=True)))
@@ -222,16 +237,30 @@ def _scan_runs(max_bits: int, run_limit: int):
     return run
 
 
-def _wide_links(prints: DataFrame, max_bits: int) -> DataFrame:
+def _wide_links(values: DataFrame, max_bits: int) -> DataFrame:
     """Stars over the full variants with ``max_bits`` wildcards."""
     variants = []
     for bits in combinations(range(BITS), max_bits):
         mask = ~sum(1 << b for b in bits) & ((1 << 64) - 1)
         variants.append(mask - ((mask >> 63) << 64))
-    masks = prints.sparkSession.createDataFrame([(variants,)], "masks array<bigint>")
-    each = prints.join(F.broadcast(masks)).select("fingerprint", F.posexplode("masks").alias("n", "mask")).select("fingerprint", "n", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("rest"))
-    stars = each.groupBy("n", "rest").agg(F.min("fingerprint").alias("least"), F.count("*").alias("size")).where("size > 1")
-    return each.join(stars, ["n", "rest"]).where("fingerprint <> least").select(F.col("least").alias("a"), F.col("fingerprint").alias("b"))
+    masks = values.sparkSession.createDataFrame([(variants,)], "masks array<bigint>")
+    each = values.join(F.broadcast(masks)).select("signature", "value", F.posexplode("masks").alias("n", "mask")).select("signature", "value", "n", F.col("value").bitwiseAND(F.col("mask")).alias("rest"))
+    stars = each.groupBy("signature", "n", "rest").agg(F.min("value").alias("least"), F.count("*").alias("size")).where("size > 1")
+    return each.join(stars, ["signature", "n", "rest"]).where("value <> least").select("signature", F.col("least").alias("a"), F.col("value").alias("b"))
+
+
+def _links(values: DataFrame, max_bits: int, run_limit: int) -> DataFrame:
+    """``(signature, a, b)`` between distinct ``values(signature int, value)``."""
+    if max_bits > 2:
+        run_limit = BITS << 40
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = _variants(values, max_bits).repartition(parts, "slot", "rest").sortWithinPartitions("slot", "rest", "value")
+    found = stored_map(runs, _scan_runs(max_bits, run_limit), "signature int, a long, b long", "links").frame
+    links = found.where("a <> b")
+    wide = found.where("a = b").select("signature", F.col("a").alias("value")).distinct()
+    if not wide.isEmpty():
+        links = links.unionByName(_wide_links(wide, max_bits))
+    return links
 
 
 def fingerprint_links(prints: DataFrame, max_bits: int = 2, run_limit: int = 8192) -> DataFrame:
@@ -241,32 +270,24 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 2, run_limit: int = 819
     more than two wildcards are too many, so beyond two bits every run is
     searched whole, at eight bytes a distinct fingerprint.
     """
-    if max_bits > 2:
-        run_limit = BITS << 40
-    index = _variants(prints, max_bits)
-    spark = prints.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = index.repartition(parts, "slot", "rest").sortWithinPartitions("slot", "rest", "fingerprint")
-    found = written(arrow_map(runs, _scan_runs(max_bits, run_limit), "a long, b long"), "links")
-    links = found.where("a <> b").distinct()
-    wide = found.where("a = b").select(F.col("a").alias("fingerprint")).distinct()
-    if not wide.isEmpty():
-        links = links.unionByName(_wide_links(wide, max_bits)).distinct()
-    return links
+    values = prints.select(F.lit(0).alias("signature"), F.col("fingerprint").alias("value"))
+    return _links(values, max_bits, run_limit).select("a", "b").distinct()
 
 
-def _signature_links(rows: DataFrame, name: str, max_bits: int, run_limit: int) -> DataFrame:
-    """Links of another signature, between first fingerprints.
+def _signature_links(rows: DataFrame, signatures: int, max_bits: int, run_limit: int) -> DataFrame:
+    """``(a, b)`` between first fingerprints, near under any signature.
 
-    All first fingerprints that share a value of this signature are linked to
-    the smallest of them, which stands for the value in its links.
+    All first fingerprints that share a value of a signature are linked to the
+    smallest of them, which stands for the value in its links.
     """
-    pairs = written(rows.select("fingerprint", F.col(name).alias("value")).distinct(), name)
-    stands = written(pairs.groupBy("value").agg(F.min("fingerprint").alias("least")), f"{name}-least")
-    links = fingerprint_links(stands.select(F.col("value").alias("fingerprint")), max_bits, run_limit)
+    names = ["fingerprint", *(f"fingerprint_{k}" for k in range(1, signatures))]
+    kinds = rows.select(names).distinct()
+    pairs = kinds.select("fingerprint", F.inline(F.array(*[F.struct(F.lit(k).alias("signature"), F.col(x).alias("value")) for k, x in enumerate(names)])))
+    stands = written(pairs.groupBy("signature", "value").agg(F.min("fingerprint").alias("least")), "stands")
+    links = _links(stands.select("signature", "value"), max_bits, run_limit)
     for end in ("a", "b"):
-        links = links.join(stands.select(F.col("value").alias(end), F.col("least").alias(f"{end}_least")), end)
-    shared = pairs.join(stands, "value").select(F.col("fingerprint").alias("a"), F.col("least").alias("b"))
+        links = links.join(stands.select("signature", F.col("value").alias(end), F.col("least").alias(f"{end}_least")), ["signature", end])
+    shared = pairs.where("signature > 0").join(stands, ["signature", "value"]).select(F.col("fingerprint").alias("a"), F.col("least").alias("b"))
     return links.select(F.col("a_least").alias("a"), F.col("b_least").alias("b")).unionByName(shared).where("a <> b")
 
 
@@ -284,15 +305,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     * repeated rows are repeated in the result; other columns are ignored, so
       their names may clash with ours; an empty table gives an empty result.
     """
-    rows = written(fingerprints(docs, id_col, text_col, shingle, signatures), "fingerprints")
+    rows = stored_map(*_fingerprints(docs, id_col, text_col, shingle, signatures), "fingerprints").frame
     least = written(rows.groupBy("fingerprint").agg(F.min("id").alias("least")), "distinct")
-    links = fingerprint_links(least.select("fingerprint"), max_bits, run_limit)
-    for number in range(1, signatures):
-        links = links.unionByName(_signature_links(rows, f"fingerprint_{number}", max_bits, run_limit))
+    if signatures == 1:
+        links = _links(least.select(F.lit(0).alias("signature"), F.col("fingerprint").alias("value")), max_bits, run_limit)
+    else:
+        links = _signature_links(rows, signatures, max_bits, run_limit)
     roots = connected_components(links)
-    joined = roots.join(least, roots.node == least.fingerprint).groupBy("root").agg(F.min("least").alias("component"))
-    named = roots.join(joined, "root").select(F.col("node").alias("fingerprint"), "component")
-    labels = least.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("component", "least").alias("component"))
+    # Both sides of each join below are written tables: so Spark can split the
+    # rows of one key, a large component's or a large group of copies'.
+    joined = written(roots.join(least, roots.node == least.fingerprint).groupBy("root").agg(F.min("least").alias("component")), "joined")
+    named = written(roots.join(joined, "root").select(F.col("node").alias("fingerprint"), "component"), "named")
+    labels = written(least.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("component", "least").alias("component")), "labels")
     return rows.join(labels, "fingerprint").select("id", "fingerprint", "component")
 
 
@@ -329,37 +353,69 @@ def _heads(sets: list[np.ndarray], least: Fraction) -> list[int]:
     return heads
 
 
-def similar_heads(rows: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """``(hash)`` of the first text of each verified near-duplicate group.
-
-    ``rows(group long, id, hash long, text)``: within a group, texts are linked
-    if their sets of shingles have a Jaccard similarity of ``least`` or more;
-    of each component the text with the smallest id and hash is listed.  Every
-    pair of a group counts, not only those that a fingerprint links.  Texts
-    without words are alike.  One group's shingles are held by one task.
-    """
+def _part_heads(rows: DataFrame, shingle: int, least: float):
+    """Frame, function and schema for ``(group, id, hash, size, parts)`` of the
+    first text of each similar group within each ``(group, part)`` of ``rows``."""
     ratio = Fraction(str(least))
+    names = ("group", "id", "hash", "size", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, hashes, sets = None, [], []
+        place, held, sets = None, [], []
 
         def closed():
-            return pa.record_batch([pa.array([hashes[k] for k in _heads(sets, ratio)], pa.int64())], names=["hash"])
+            first = [held[k] for k in _heads(sets, ratio)]
+            return pa.record_batch([pa.concat_arrays([x[k] for x in first]) for k in range(len(names))], names=names)
 
         for batch in batches:
-            texts = batch.column(2).cast(pa.binary())
-            for now, value, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
-                if now != group:
+            texts = batch.column("text").cast(pa.binary())
+            fixed = [batch.column(x) for x in names]
+            for k, now in enumerate(zip(*(batch.column(x).to_pylist() for x in ("group", "part")), strict=True)):
+                if now != place:
                     if sets:
                         yield closed()
-                    group, hashes, sets = now, [], []
-                if hashes and hashes[-1] == value:  # a repeated row
+                    place, held, sets = now, [], []
+                own = [x.slice(k, 1) for x in fixed]
+                if held and held[-1][2].equals(own[2]):  # a repeated row
                     continue
-                hashes.append(value)
-                sets.append(np.unique(_shingles(text.as_py(), shingle)))
+                held.append(own)
+                sets.append(np.unique(_shingles(texts[k].as_py(), shingle)))
         if sets:
             yield closed()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(parts, "group").sortWithinPartitions("group", "id", "hash").select("group", "hash", text_of("text").alias("text"))
-    return arrow_map(ordered, run, "hash long")
+    ordered = rows.repartition(parts, "group", "part").sortWithinPartitions("group", "part", "id", "hash")
+    kind = rows.schema["id"].dataType.simpleString()
+    return ordered.select("part", *names, text_of("text").alias("text")), run, f"group long, id {kind}, hash long, size long, parts long"
+
+
+def similar_heads(rivals: DataFrame, texts: DataFrame, shingle: int = 5, least: float = 0.8, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``(hash)`` of the texts that stay of each group of candidates.
+
+    ``rivals(group long, id, hash long, size long)`` name candidates by id and
+    text hash, ``size`` being the text's bytes; ``texts(id, hash, text)`` hold
+    them.  Within a group, texts are linked if their sets of shingles have a
+    Jaccard similarity of ``least`` or more; of each component the text with
+    the smallest id and hash stays.  Every pair of a group counts, not only
+    those that a fingerprint links.  Texts without words are alike.
+
+    A group of over ``part_bytes`` is dealt out in parts of about so much, of
+    16 texts at least, one task each; what stays of it meets again in the next
+    round, dealt out anew, until it is one part or two rounds find nothing.  So
+    a text only goes for one that it is linked to; in a group of that size two
+    texts that are linked through texts of different parts alone may both stay.
+    """
+    rivals, idle = stored(rivals.select("group", "id", "hash", "size"), "candidates"), 0
+    stays = []
+    for number in range(1000):
+        enough = F.least(F.ceil(F.sum("size") / part_bytes), F.floor(F.count("*") / 16)).cast("long")
+        sizes = written(rivals.frame.groupBy("group").agg(F.greatest(enough, F.lit(1)).alias("parts")), "group-sizes")
+        dealt = rivals.frame.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("hash", F.lit(number)), "parts"))
+        whole = texts.join(dealt.withColumnsRenamed({"id": "rid", "hash": "rhash"}), F.col("id").eqNullSafe(F.col("rid")) & (F.col("hash") == F.col("rhash"))).drop("rid", "rhash")
+        heads = stored_map(*_part_heads(whole, shingle, least), "heads").frame
+        stays.append(heads.where("parts = 1").select("hash"))
+        rest = stored(heads.where("parts > 1").select("group", "id", "hash", "size"), "candidates")
+        idle = idle + 1 if rest.rows == rivals.rows else 0
+        rivals = rest
+        if not rest.rows or idle == 2:
+            break
+    return reduce(DataFrame.unionByName, [*stays, rivals.frame.select("hash")])

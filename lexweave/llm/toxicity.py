@@ -14,6 +14,7 @@ A logistic regression over the document's counts gives the score.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -22,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.runtime import arrow_map, text_of
-from lexweave.llm.sampling import per_class_sample
+from lexweave.llm.runtime import stored_map, text_of
+from lexweave.llm.sampling import class_sample, placed
 from lexweave.llm.words import ALPHANUMERIC, WordTable, chunks
 
 #: Common English terms of abuse.
@@ -35,8 +36,10 @@ ADDRESS = frozenset(("are", "re", "you", "your", "yours", "yourself", "u", "he",
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 QUOTES = ('"', "“", "”", "„", "«", "»")
 
-#: Labelled rows that are drawn of each class.
+#: Labelled texts that are drawn of each class, at most.
 PER_CLASS = 3000
+#: Words whose weights a worker remembers.
+CACHE_WORDS = 200_000
 #: Words on either side of a hit.
 CONTEXT = 8
 
@@ -210,7 +213,16 @@ class Counts:
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self._known: dict[bytes, tuple[float, int]] = {}
+        self._known: dict[bytes, float] = {}
+
+    def _weights(self, words: list[bytes]) -> list[float]:
+        if len(self._known) > CACHE_WORDS:
+            self._known.clear()
+        found = list(map(self._known.get, words))
+        for k, weight in enumerate(found):
+            if weight is None:
+                found[k] = self._known[words[k]] = self.lexicon.weigh(words[k].decode())[0]
+        return found
 
     def rows(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         table = WordTable(data, offs, _TOKEN_BYTES)
@@ -220,8 +232,7 @@ class Counts:
         if len(table):
             _, at, which = np.unique(table.hashes, return_index=True, return_inverse=True)
             raw = data.tobytes()
-            weigh = self.lexicon.weigh
-            weights = np.fromiter((weigh(raw[a:b].decode())[0] for a, b in zip(table.starts[at].tolist(), table.ends[at].tolist(), strict=True)), float, len(at))
+            weights = np.array(self._weights([raw[a:b] for a, b in zip(table.starts[at].tolist(), table.ends[at].tolist(), strict=True)]))
             for hit in np.flatnonzero(weights[which] > 0).tolist():
                 row, weight = table.rows[hit], weights[which[hit]]
                 kind = self._context(table, raw, hit, row, offs)
@@ -271,8 +282,9 @@ class ToxicityModel:
     beta: np.ndarray
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[int], sizes: dict[int, int]) -> ToxicityModel:
-        """``sizes``: rows of each class in all, of which ``texts`` are a sample.
+    def fit(cls, texts: list[str], labels: list[int], sizes: dict[int, int], copies: list[int] | None = None) -> ToxicityModel:
+        """``sizes``: rows of each class in all, of which ``texts``, each with
+        its number of ``copies``, are a sample.
 
         The lexicon is induced on one half of the sample and weighed on the
         other, then induced on all, so that the weights hold for unseen texts.
@@ -289,34 +301,57 @@ class ToxicityModel:
             ours = [k for k in range(len(texts)) if k % 2 == part]
             found = [counts.rows(data, offs) for _, _, data, offs in chunks(pa.array([texts[k].lower() for k in ours], pa.large_string()))]
             rows[ours] = np.concatenate(found) if found else rows[ours]
-        drawn = Counter(labels)
-        weights = np.array([sizes[x] / drawn[x] for x in labels])
+        drawn: Counter = Counter()
+        for label, count in zip(labels, copies or [1] * len(labels), strict=True):
+            drawn[label] += count
+        weights = np.array([count * sizes[x] / drawn[x] for x, count in zip(labels, copies or [1] * len(labels), strict=True)])
         beta = _logistic(rows, labels_of, weights / weights.mean())
         return cls(induce_lexicon(texts, labels), beta)
 
 
-def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel:
-    """Fits on about ``per_class`` rows of each class, labels 0 and 1."""
-    rows = labelled.select(F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text")).where("label in (0, 1)")
-    sample, sizes = per_class_sample(rows, "label", "text", per_class)
-    return ToxicityModel.fit([r.text for r in sample], [r.label for r in sample], sizes)
+def fit_toxicity(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel:
+    """Fits on at most ``per_class`` texts of each class, labels 0 and 1.
+
+    ``labels`` are joined by ``id_col``, without the texts; without them the
+    label is a column of ``docs``, which then need no id (copies of a text
+    count as one).
+    """
+    ident = F.col(id_col) if id_col in docs.columns else F.lit(None).cast("long")
+    own = [] if labels is not None else [F.col(label_col).alias("label")]
+    texts = placed(docs.select(ident.alias("id"), F.col(text_col).alias("text"), *own), "id")
+    rows = texts if labels is None else texts.drop("text").join(labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")), "id")
+    rows = rows.select(F.col("label").cast("int").alias("label"), "place", "bytes").where("label in (0, 1)")
+    sample, sizes = class_sample(rows, texts, "label", "text", per_class)
+    return ToxicityModel.fit([text for _, text, _ in sample], [label for label, _, _ in sample], sizes, [copies for _, _, copies in sample])
+
+
+#: The counter of the model that this worker process used last.
+_counters: dict[str, Counts] = {}
+
+
+def _counter(key: str, shared) -> Counts:
+    if key not in _counters:
+        _counters.clear()
+        _counters[key] = Counts(shared.value.lexicon)
+    return _counters[key]
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``(id, score double)`` from 0 to 1.
+    """One row per document: ``(id, score double)`` from 0 to 1, as a written table.
 
     * null and empty texts get the score of a text without hits;
     * very long texts are read whole; ids may repeat or be null; other
       columns are ignored, whatever their names; an empty table is no error;
-    * a model fitted on one class only falls back to the fixed terms.
+    * a word within reach of several terms takes the nearest, then the first
+      by name; a model fitted on one class only falls back to the fixed terms.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a lexicon bounded by the sample
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # a lexicon bounded by the sample
 
     def run(batches):
-        counts = Counts(shared.value.lexicon)
+        counts = _counter(key, shared)
         for batch in batches:
             found = [_sigmoid(counts.rows(data, offs) @ shared.value.beta) for _, _, data, offs in chunks(batch.column(1), 2 << 20)]
             yield pa.record_batch([batch.column(0), pa.array(np.concatenate(found) if found else np.zeros(0))], names=["id", "score"])
 
-    return arrow_map(docs.select(F.col(id_col).alias("id"), F.lower(text_of(text_col)).alias("text")), run, f"id {kind}, score double")
+    return stored_map(docs.select(F.col(id_col).alias("id"), F.lower(text_of(text_col)).alias("text")), run, f"id {kind}, score double", "scores").frame

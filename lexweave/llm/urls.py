@@ -3,7 +3,11 @@
 Native: features, rules and verdicts are SQL expressions; the trees are
 trained and applied by Spark's ML library on the JVM.  The features are
 lexical: length, depth, digit ratio, entropy, parameter counts and the label
-statistics of the host's suffix.
+statistics of the host's suffix, which are counted over all labelled URLs.
+
+Labelled are the URLs that a rule judges (blocked or allowed) and those whose
+host has a word of a fixed list (blocked): the trees extend these judgements
+to the URLs without a rule.
 """
 
 from __future__ import annotations
@@ -16,13 +20,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled URLs that are drawn of each class for training.
+from lexweave.llm.runtime import written_by_spark
+
+#: Distinct labelled URLs that are drawn of each class for training, at most.
 PER_CLASS = 5000
-#: Host words of gambling, pharmacy and adult lists.
-BLOCKED_WORDS = ("bet", "bets", "casino", "cheap", "escort", "free", "loan", "pills", "poker", "porn", "slots", "viagra", "win", "xxx")
+#: Labels that a suffix is given of the overall rate, against chance.
+PRIOR = 10
+#: Host words of advertising, adult, gambling, pharmacy and spam lists.
+BLOCKED_WORDS = ("ads", "adult", "bet", "bets", "casino", "cheap", "escort", "free", "loan", "pills", "poker", "porn", "slots", "spam", "track", "viagra", "win", "xxx")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes with statistics of their own: the commonest of the sample.
-SUFFIXES = 64
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -54,6 +60,10 @@ def _entropy(text: Column) -> Column:
     return F.when(n > 0, F.aggregate(terms, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))).otherwise(F.lit(0.0))
 
 
+FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "hyphens", "host_digits", "url_digits", "vowels", "parameters", "fragment", "secure", "longest_label", "host_entropy", "path_entropy")
+_NAMES = [f"lexweave_{x}" for x in (*FEATURES, "suffix_rate")]
+
+
 def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Column]:
     """Named numbers of the whole url."""
     whole = F.coalesce(url, F.lit(""))
@@ -84,64 +94,67 @@ def _suffix(host: Column) -> Column:
 
 @dataclass
 class UrlModel:
-    """Trees, suffix statistics and the overall rate of blocked urls."""
+    """Trees, ``(suffix, suffix_rate)`` and the overall rate of blocked urls."""
 
     trees: GBTClassificationModel | None
-    suffix_rates: dict[str, float]
+    suffixes: DataFrame | None
     rate: float
-    names: list[str]
 
     def scored(self, rows: DataFrame, host: str = "host", path: str = "path", url: str = "url") -> DataFrame:
         """Adds ``score``: the probability that the url is to be blocked."""
         if self.trees is None:
             return rows.withColumn("score", F.lit(self.rate))
-        columns = _with_features(rows, self, host, path, url)
-        assembled = VectorAssembler(inputCols=self.names, outputCol="lexweave_features").transform(columns)
+        assembled = VectorAssembler(inputCols=_NAMES, outputCol="lexweave_features").transform(_with_features(rows, self.suffixes, self.rate, host, path, url))
         return self.trees.transform(assembled).withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
 
 
-def _with_features(rows: DataFrame, model: UrlModel, host: str, path: str, url: str) -> DataFrame:
+def _with_features(rows: DataFrame, suffixes: DataFrame, rate: float, host: str, path: str, url: str) -> DataFrame:
+    """A written table of suffixes is small unless hosts are garbage: Spark
+    broadcasts it under its threshold, else splits the rows of a frequent one."""
     features = lexical_features(F.col(url), F.col(host), F.col(path))
-    table = F.create_map(*[F.lit(x) for pair in model.suffix_rates.items() for x in pair]) if model.suffix_rates else None
-    rate = F.lit(model.rate) if table is None else F.coalesce(F.try_element_at(table, _suffix(F.col(host))), F.lit(model.rate))
-    return rows.withColumns({f"lexweave_{name}": value for name, value in features.items()} | {"lexweave_suffix_rate": rate})
+    rows = rows.withColumns({f"lexweave_{name}": value for name, value in features.items()} | {"lexweave_suffix": _suffix(F.col(host))})
+    found = rows.join(suffixes.withColumnRenamed("suffix", "lexweave_suffix"), "lexweave_suffix", "left")
+    return found.withColumn("lexweave_suffix_rate", F.coalesce("suffix_rate", F.lit(rate))).drop("suffix_rate", "lexweave_suffix")
 
 
-def weak_labels(urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """``(url, label)``: 1 if a word of the host is on the fixed lists."""
-    rows = urls.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"))
-    host, _ = host_and_path(F.col("url"))
-    words = F.split(host, r"[.\-]")
-    listed = F.arrays_overlap(words, F.array(*[F.lit(x) for x in BLOCKED_WORDS]))
-    return rows.where(host != "").select("url", F.when(listed, 1.0).otherwise(0.0).alias("label"))
+def labelled_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url") -> DataFrame:
+    """``(url, label)``: 1 where a rule blocks or a word of the host is on the
+    fixed list, 0 where a rule allows; other urls are not labelled."""
+    rows = pages.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"))
+    host, path = host_and_path(F.col("url"))
+    listed = F.arrays_overlap(F.split(host, r"[.\-]"), F.array(*[F.lit(x) for x in BLOCKED_WORDS]))
+    _, verdict = matching_rule(host, path, rules)
+    label = F.when(listed | (verdict == "block"), 1.0).when(verdict == "allow", 0.0)
+    return rows.where(host != "").select("url", label.alias("label")).where("label is not null")
 
 
-def fit_url_model(labelled: DataFrame, per_class: int = PER_CLASS, rounds: int = 10, depth: int = 4) -> UrlModel:
-    """Boosted trees on about ``per_class`` urls of each class of ``(url, label)``.
+def fit_url_model(labelled: DataFrame, per_class: int = PER_CLASS, rounds: int = 20, depth: int = 4) -> UrlModel:
+    """Boosted trees on at most ``per_class`` distinct urls of each class of
+    ``(url, label)``, each with its number of copies as weight.
 
     With one class only there are no trees and the class's rate is the score.
     """
     spark = labelled.sparkSession
-    sizes = {int(r[0]): r[1] for r in labelled.groupBy("label").count().collect()}
-    names = [f"lexweave_{x}" for x in lexical_features(F.lit(""), F.lit(""), F.lit(""))] + ["lexweave_suffix_rate"]
-    total = sum(sizes.values())
+    sizes = {int(r[0]): (r[1], r[2]) for r in labelled.groupBy("label").agg(F.count("*"), F.approx_count_distinct("url")).collect()}
+    total = sum(n for n, _ in sizes.values())
     if len(sizes) < 2:
-        return UrlModel(None, {}, float(next(iter(sizes), 0)), names)
-    space = 1 << 30
+        return UrlModel(None, None, float(next(iter(sizes), 0)))
+    space = 1 << 40
     place = F.pmod(F.xxhash64("url"), F.lit(space))
-    chosen = F.lit(False)
-    for label, size in sizes.items():
-        chosen = chosen | ((F.col("label") == label) & (place < int(space * min(1.0, per_class / size))))
-    drawn = labelled.where(chosen).withColumn("weight", F.when(F.col("label") == 1, 0.5 * total / sizes[1]).otherwise(0.5 * total / sizes[0]))
+    drawn = []
+    for label, (size, kinds) in sorted(sizes.items()):
+        # Twice the number wanted, by hash, of which the first are taken.
+        own = labelled.where((F.col("label") == label) & (place < int(space * min(1.0, 2 * per_class / kinds)))).groupBy("url", "label").agg(F.count("*").alias("copies"))
+        rows = own.orderBy(place, "url").limit(per_class).collect()
+        drawn += [(r.url, r.label, 0.5 * total / size * r.copies) for r in rows]
     host, path = host_and_path(F.col("url"))
-    sample = spark.createDataFrame(drawn.select("url", "label", "weight").orderBy("url", "label").collect(), "url string, label double, weight double").withColumn("host", host).withColumn("path", path)
-    rate = sizes[1] / total
-    suffixes = sample.groupBy(_suffix(F.col("host")).alias("suffix")).agg(F.count("*").alias("n"), F.avg("label").alias("mean")).orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()
-    model = UrlModel(None, {r.suffix: (r.n * r["mean"] + 10 * rate) / (r.n + 10) for r in suffixes}, rate, names)
-    rows = VectorAssembler(inputCols=names, outputCol="lexweave_features").transform(_with_features(sample, model, "host", "path", "url"))
+    rate = sizes[1][0] / total
+    named = labelled.select(_suffix(host).alias("suffix"), "label")
+    suffixes = written_by_spark(named.groupBy("suffix").agg(((F.sum("label") + PRIOR * rate) / (F.count("*") + PRIOR)).alias("suffix_rate")), "suffixes")
+    sample = spark.createDataFrame(drawn, "url string, label double, weight double").withColumn("host", host).withColumn("path", path)
+    rows = VectorAssembler(inputCols=_NAMES, outputCol="lexweave_features").transform(_with_features(sample, suffixes, rate, "host", "path", "url"))
     trees = GBTClassifier(featuresCol="lexweave_features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, seed=7)
-    model.trees = trees.fit(rows.select("lexweave_features", "label", "weight"))
-    return model
+    return UrlModel(trees.fit(rows.select("lexweave_features", "label", "weight")), suffixes, rate)
 
 
 def filter_urls(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:

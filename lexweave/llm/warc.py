@@ -4,10 +4,12 @@ Writing: each task writes gzip-member-per-record files to the shared folder
 under names of its own and reports those it closed; only reported files are
 read, so retried or lost tasks leave no duplicate records.
 
-Reading: files are streamed.  A member or plain record that fails a check
-(inflate, gzip CRC, version line, header, length, digest) opens a gap; the
-reader searches for the next gzip magic or version line, goes on from the next
-record that passes, and reports the gap's bytes as quarantined.
+Reading: files are streamed, a member's content as it is inflated.  What fails
+a check (inflate, gzip CRC, version line, header, length, digest) opens a gap.
+Inside a member the reader searches the inflated bytes for the next version
+line; behind damage to the compression itself, and between plain records, it
+searches the file for the next gzip magic or version line.  Records before and
+after the damage are kept, and the gap's bytes are reported as quarantined.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.runtime import arrow_map, scratch, text_of, written
+from lexweave.llm.runtime import scratch, stored_map, text_of, written
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Compressed bytes after which a task begins another file.
 FILE_BYTES = 64 << 20
+#: Bytes of the longest block that the reader holds.
+BLOCK_BYTES = 1 << 30
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -40,9 +44,11 @@ def _line(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(kind: str, ident: str, url: str | None, payload: bytes, digest: str, refers_to: str | None = None, date: str = "1970-01-01T00:00:00Z") -> bytes:
-    """One WARC/1.1 record; a revisit holds the HTTP head without the payload."""
-    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(kind: str, ident: str, url: str | None, payload: bytes | None, digest: str, refers_to: str | None = None, date: str = "1970-01-01T00:00:00Z", payload_bytes: int | None = None) -> bytes:
+    """One WARC/1.1 record; a revisit holds the HTTP head without the payload,
+    which may be None if its size is given."""
+    size = len(payload) if payload_bytes is None else payload_bytes
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     if kind == "response":
         block += payload
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{ident}>"), ("WARC-Date", date)]
@@ -63,30 +69,138 @@ def member(data: bytes, level: int = 1) -> bytes:
 
 @dataclass
 class Parsed:
-    """A record that passed all checks, or a quarantined gap."""
+    """A record that passed all checks, or a quarantined gap.
+
+    ``start`` and ``end`` are the file's bytes: of the member for what lies
+    inside one, where only its last record knows the end.  ``inner`` is the
+    place in the inflated bytes; a gap inside a member has ``inner_end`` too.
+    """
 
     start: int
-    end: int
+    end: int | None
     headers: dict[str, str] = field(default_factory=dict)
     block: bytes = b""
     reason: str | None = None
+    inner: int | None = None
+    inner_end: int | None = None
 
 
 class _Bad(ValueError):
     pass
 
 
-def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """(headers, block, end) of the plain record at ``at``; raises _Bad, with
-    ``short`` in its text if more bytes are needed."""
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
-        raise _Bad("short header" if len(data) - at < 1 << 20 else "endless header")
-    lines = data[at:stop].decode("utf-8", "replace").split("\r\n")
-    if not lines[0].startswith("WARC/1."):
+class _Bytes:
+    """Bytes that come in parts, of which those before a place are let go."""
+
+    def __init__(self, at: int = 0):
+        self.data, self.base = bytearray(), at
+
+    def _part(self) -> bytes:
+        """The next bytes, empty at the end."""
+        raise NotImplementedError
+
+    def more(self) -> bool:
+        part = self._part()
+        self.data += part
+        return bool(part)
+
+    def peek(self, at: int, size: int) -> bytes:
+        while len(self.data) < at - self.base + size and self.more():
+            pass
+        return bytes(self.data[at - self.base : at - self.base + size])
+
+    def drop(self, upto: int) -> None:
+        count = min(upto - self.base, len(self.data))
+        del self.data[:count]
+        self.base += count
+
+    def find(self, marks: tuple[bytes, ...], at: int) -> int | None:
+        """The first place from ``at`` on where a mark is; lets go what it passes."""
+        while True:
+            places = [x for x in (self.data.find(mark, at - self.base) for mark in marks) if x >= 0]
+            if places:
+                return self.base + min(places)
+            at = max(at, self.end() - len(VERSION) + 1)  # a mark may have begun
+            if not self.more():
+                return None
+            self.drop(min(at, self.end()))
+
+    def end(self) -> int:
+        return self.base + len(self.data)
+
+
+class _Window:
+    """The part of a stream that was read last."""
+
+    def __init__(self, stream, step: int):
+        self._stream, self._step = stream, step
+        self._data, self._base = b"", 0
+
+    def read(self, at: int) -> bytes:
+        """Some bytes from ``at`` on, empty at the end."""
+        if not self._base <= at < self._base + len(self._data):
+            self._stream.seek(at)
+            self._data, self._base = self._stream.read(self._step), at
+        return self._data[at - self._base : at - self._base + (1 << 16)]
+
+
+class _File(_Bytes):
+    def __init__(self, window: _Window, at: int = 0):
+        super().__init__(at)
+        self._window = window
+
+    def _part(self) -> bytes:
+        return self._window.read(self.end())
+
+
+class _Member(_Bytes):
+    """The inflated bytes of the gzip member at ``start`` of a file."""
+
+    def __init__(self, window: _Window, start: int):
+        super().__init__()
+        self._window, self._at = window, start
+        self._inflater, self._left = zlib.decompressobj(31), b""
+        self.after: int | None = None  #: the file's place behind the member
+        self.damage: str | None = None
+
+    def _part(self) -> bytes:
+        while self.after is None and self.damage is None:
+            part = self._left
+            if not part:
+                part = self._window.read(self._at)
+                self._at += len(part)
+            if not part:
+                self.damage = "truncated member"
+                break
+            try:
+                out = self._inflater.decompress(part, 1 << 20)
+            except zlib.error as error:
+                self.damage = f"inflate: {error}"
+                break
+            self._left = self._inflater.unconsumed_tail
+            if self._inflater.eof:
+                self.after = self._at - len(self._inflater.unused_data)
+            if out:
+                return out
+        return b""
+
+
+def parse_record(source: _Bytes, at: int, limit: int) -> tuple[dict[str, str], bytes, int]:
+    """(headers, block, end) of the record at ``at``; raises _Bad.
+
+    A block is only read if its length is at most ``limit`` bytes.
+    """
+    if source.peek(at, len(VERSION)) != VERSION:
         raise _Bad("no version line")
+    seen = 0
+    while (stop := source.data.find(b"\r\n\r\n", at - source.base + max(0, seen - 3))) < 0:
+        seen = len(source.data) - (at - source.base)
+        if seen >= 1 << 20:
+            raise _Bad("endless header")
+        if not source.more():
+            raise _Bad("short header")
     headers = {}
-    for line in lines[1:]:
+    for line in bytes(source.data[at - source.base : stop]).decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if not colon:
             raise _Bad("malformed header")
@@ -94,112 +208,117 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     size = headers.get("content-length", "")
     if not size.isascii() or not size.isdigit():
         raise _Bad("no content length")
-    end = stop + 4 + int(size)
-    if len(data) < end + 4:
+    if int(size) > limit:
+        raise _Bad("block over the limit")
+    begin = source.base + stop + 4
+    found = source.peek(begin, int(size) + 4)
+    block, tail = found[: int(size)], found[int(size) :]
+    if len(found) < int(size) + 4:
         raise _Bad("short block")
-    if data[end : end + 4] != b"\r\n\r\n":
+    if tail != b"\r\n\r\n":
         raise _Bad("length mismatch")
-    block = data[stop + 4 : end]
     digest = headers.get("warc-block-digest", "")
     if digest.startswith("sha1:") and digest[5:] != base32_sha1(block):
         raise _Bad("digest mismatch")
-    return headers, block, end + 4
+    return headers, block, begin + int(size) + 4
 
 
 class SalvageReader:
-    """Records and gaps of one archive, read from a binary stream."""
+    """Records and gaps of one archive, read from a seekable binary stream.
 
-    def __init__(self, stream, step: int = 1 << 18):
-        self._stream, self._step = stream, step
-        self._data, self._base, self._ended = bytearray(), 0, False
+    It holds a record and what it reads at once: a block of over ``limit``
+    bytes is quarantined.
+    """
 
-    def _more(self) -> bool:
-        part = b"" if self._ended else self._stream.read(self._step)
-        self._ended = self._ended or not part
-        self._data += part
-        return bool(part)
+    def __init__(self, stream, step: int = 1 << 20, limit: int = BLOCK_BYTES):
+        self._window, self._limit = _Window(stream, step), limit
 
-    def _drop(self, upto: int) -> None:
-        del self._data[: upto - self._base]
-        self._base = upto
-
-    def _inflate(self, at: int) -> tuple[bytes, int]:
-        """(content, end) of the gzip member at ``at``."""
-        inflater, out, fed = zlib.decompressobj(31), [], at - self._base
-        while not inflater.eof:
-            if fed == len(self._data) and not self._more():
-                raise _Bad("truncated member")
-            part = bytes(self._data[fed:])
-            fed += len(part)
-            try:
-                out.append(inflater.decompress(part))
-            except zlib.error as error:
-                raise _Bad(f"inflate: {error}") from None
-        return b"".join(out), self._base + fed - len(inflater.unused_data)
-
-    def _at(self, at: int) -> tuple[list[tuple[dict, bytes]], int]:
-        """(records, end) of the member or plain record at ``at``."""
-        while len(self._data) < at - self._base + 7 and self._more():
-            pass
-        head = bytes(self._data[at - self._base : at - self._base + 7])
-        if head[:3] == MAGIC:
-            content, end = self._inflate(at)
-            found, inner = [], 0
-            while inner < len(content):
-                headers, block, inner = parse_record(content, inner)
-                found.append((headers, block))
-            if not found:
-                raise _Bad("empty member")
-            return found, end
-        if head != VERSION:
-            raise _Bad("no record start")
-        while True:
-            try:
-                headers, block, end = parse_record(bytes(self._data), at - self._base)
-                return [(headers, block)], self._base + end
-            except _Bad as error:
-                if not str(error).startswith("short") or not self._more():
-                    raise
-
-    def _candidate(self, at: int) -> int | None:
-        """The next place, from ``at`` on, that looks like a record's start."""
-        while True:
-            places = [self._data.find(mark, at - self._base) for mark in (MAGIC, VERSION)]
-            places = [x for x in places if x >= 0]
-            if places:
-                return self._base + min(places)
-            end = self._base + len(self._data)
-            at = max(at, end - len(VERSION) + 1)
-            if not self._more():
-                return None
-            self._drop(min(at, end))
-
-    def __iter__(self) -> Iterator[Parsed]:
+    def _inside(self, member: _Member, start: int) -> Iterator[Parsed]:
+        """Records and gaps of a member's inflated bytes."""
         at, gap, reason = 0, None, None
-        while True:
-            if at - self._base >= len(self._data) and not self._more():
-                break
+        while member.peek(at, 1):
             try:
-                found, end = self._at(at)
+                headers, block, end = parse_record(member, at, self._limit)
             except _Bad as error:
                 if gap is None:
                     gap, reason = at, str(error)
-                following = self._candidate(at + 1)
+                following = member.find((VERSION,), at + 1)
                 if following is None:
-                    at = self._base + len(self._data)
+                    at = member.end()
                     break
                 at = following
-                self._drop(at)
+                member.drop(at)
                 continue
             if gap is not None:
-                yield Parsed(gap, at, reason=reason)
+                yield Parsed(start, None, reason=reason, inner=gap, inner_end=at)
                 gap = None
-            for headers, block in found:
-                yield Parsed(at, end, headers, block)
+            yield Parsed(start, None, headers, block, inner=at)
             at = end
-            self._drop(at)
+            member.drop(at)
         if gap is not None:
-            yield Parsed(gap, at, reason=reason)
+            yield Parsed(start, None, reason=reason, inner=gap, inner_end=at)
+
+    def __iter__(self) -> Iterator[Parsed]:
+        file, at = _File(self._window), 0
+        gap: Parsed | None = None  # open, its end not known yet
+
+        def closed(end: int) -> Iterator[Parsed]:
+            nonlocal gap
+            if gap is not None:
+                gap.end = end
+                yield gap
+                gap = None
+
+        while head := file.peek(at, len(VERSION)):
+            reason, inner = None, None
+            if head.startswith(MAGIC):
+                member, held, kept = _Member(self._window, at), None, 0
+                for item in self._inside(member, at):
+                    if item.reason is None:
+                        yield from closed(at)
+                        kept += 1
+                    if held is not None and (kept or held.reason is None):
+                        yield held
+                    held = item
+                file = _File(self._window, at)
+                if member.damage is None and kept:
+                    held.end = member.after
+                    yield held
+                elif kept:  # the member's rest is lost
+                    lost = held if held.reason is not None else None
+                    if lost is None:
+                        yield held
+                    reason, inner = (lost.reason, lost.inner) if lost else (member.damage, member.end())
+                else:
+                    reason = member.damage or (held.reason if held else "empty member")
+                if member.damage is None:
+                    if not kept and gap is None:
+                        gap = Parsed(at, None, reason=reason)
+                    at = member.after
+                    file = _File(self._window, at)
+                    continue
+            elif head == VERSION:
+                try:
+                    headers, block, end = parse_record(file, at, self._limit)
+                except _Bad as error:
+                    reason = str(error)
+                else:
+                    yield from closed(at)
+                    yield Parsed(at, end, headers, block)
+                    at = end
+                    file.drop(at)
+                    continue
+            else:
+                reason = "no record start"
+            if gap is None:
+                gap = Parsed(at, None, reason=reason, inner=inner)
+            following = file.find((MAGIC, VERSION), at + 1)
+            if following is None:
+                at = file.end()
+                break
+            at = following
+            file.drop(at)
+        yield from closed(at)
 
 
 def _open(uri: str):
@@ -207,7 +326,8 @@ def _open(uri: str):
 
 
 def write_archives(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes ``(id string, url, payload binary, digest, refers_to)`` rows.
+    """Writes ``(id string, url, payload binary, payload_bytes, digest,
+    refers_to)`` rows; a revisit's payload may be null.
 
     Gives the written manifest ``(file, records, bytes)``.
     """
@@ -223,12 +343,13 @@ def write_archives(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -
             return pa.record_batch([pa.array([f"{folder}/{name}"]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], names=["file", "records", "bytes"])
 
         for batch in batches:
-            for ident, url, payload, digest, refers in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            for ident, url, payload, length, digest, refers in zip(*batch.columns, strict=True):
                 if sink is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     temp, records, size = f"{root}/.{name}.open", 0, 0
                     sink = system.open_output_stream(temp, compression=None)
-                data = member(record("response" if refers is None else "revisit", ident, url, payload, digest, refers))
+                kind = "revisit" if refers.is_valid else "response"
+                data = member(record(kind, ident.as_py(), url.as_py(), payload.as_py(), digest.as_py(), refers.as_py(), payload_bytes=length.as_py()))
                 sink.write(data)
                 records, size = records + 1, size + len(data)
                 if size >= file_bytes:
@@ -237,15 +358,16 @@ def write_archives(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -
         if sink is not None:
             yield close()
 
-    return written(arrow_map(rows.select("id", "url", "payload", "digest", "refers_to"), run, "file string, records long, bytes long"), "manifest")
+    names = ("id", "url", "payload", "payload_bytes", "digest", "refers_to")
+    return stored_map(rows.select(*names), run, "file string, records long, bytes long", "manifest").frame
 
 
-_READ = "file string, start long, end long, kind string, id string, url string, payload_bytes long, payload_digest string, refers_to string, verified boolean, reason string"
+_READ = "file string, start long, end long, inner long, inner_end long, kind string, id string, url string, payload_bytes long, payload_digest string, refers_to string, verified boolean, reason string"
 
 
 def _row(file: str, item: Parsed) -> tuple:
     if item.reason is not None:
-        return (file, item.start, item.end, "gap", None, None, None, None, None, False, item.reason)
+        return (file, item.start, item.end, item.inner, item.inner_end, "gap", None, None, None, None, None, False, item.reason)
     headers = item.headers
     head, split, payload = item.block.partition(b"\r\n\r\n")
     length = next((line[15:].strip() for line in head.split(b"\r\n") if line[:15].lower() == b"content-length:"), None)
@@ -254,18 +376,19 @@ def _row(file: str, item: Parsed) -> tuple:
     size = int(length) if length is not None and length.isdigit() else len(payload) if split else len(item.block)
     whole = kind != "response" or (len(payload) == size and base32_sha1(payload) == digest)
     strip = lambda x: None if x is None else x.strip("<>")
-    return (file, item.start, item.end, kind, strip(headers.get("warc-record-id")), headers.get("warc-target-uri"), size, digest, strip(headers.get("warc-refers-to")), whole, None)
+    return (file, item.start, item.end, item.inner, None, kind, strip(headers.get("warc-record-id")), headers.get("warc-target-uri"), size, digest, strip(headers.get("warc-refers-to")), whole, None)
 
 
 def read_archives(files: DataFrame) -> DataFrame:
-    """Records and quarantined gaps (``kind`` gap) of the ``file`` column's archives."""
+    """Records and quarantined gaps (``kind`` gap) of the ``file`` column's
+    archives, as a written table."""
 
     def run(batches):
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 system, path = _open(file)
                 rows = []
-                with system.open_input_stream(path, compression=None) as stream:
+                with system.open_input_file(path) as stream:
                     for item in SalvageReader(stream):
                         rows.append(_row(file, item))
                         if len(rows) == 2000:
@@ -275,11 +398,11 @@ def read_archives(files: DataFrame) -> DataFrame:
                     yield _batch(rows)
 
     def _batch(rows):
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string())
+        kinds = (pa.string(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string())
         return pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _READ.split(", ")])
 
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return arrow_map(files.select("file").repartition(parts, "file"), run, _READ)
+    return stored_map(files.select("file").repartition(parts, "file"), run, _READ, "records").frame
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, folder: str | None = None) -> DataFrame:
@@ -295,12 +418,23 @@ def archive_pages(spark: SparkSession, pages: DataFrame, id_col: str = "page_id"
       responses; other columns are ignored, whatever their names;
     * an empty table gives an empty manifest; payloads are kept whole.
     """
-    rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), text_of(html_col).cast("binary").alias("payload")).withColumn("hex", F.sha1("payload"))
-    last = rows.groupBy("hex").agg(F.max("page").alias("last"))
+    payload = text_of(html_col).cast("binary")
+    rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("hex", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    # Written, so that the join of narrow rows can split the commonest payload's.
+    last = written(rows.where(F.col("payload_bytes") >= min_bytes).groupBy("hex").agg(F.max("page").alias("last")), "last")
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("null")))
-    refers = F.when((F.octet_length("payload") >= min_bytes) & F.col("last").isNotNull() & ~F.col("page").eqNullSafe(F.col("last")), name(F.col("last")))
-    joined = rows.join(last, "hex")
-    digests = joined.select(name(F.col("page")).alias("id"), "url", "payload", _base32("hex").alias("digest"), refers.alias("refers_to"))
+    none = F.lit(None).cast("string")
+    # Payloads travel to the records that hold them by digest and page: copies
+    # of one payload have different pages.  Revisits travel without a payload.
+    firsts = last.withColumnsRenamed({"hex": "own", "last": "own_page"})
+    holders = rows.join(firsts, (rows.hex == firsts.own) & rows.page.eqNullSafe(firsts.own_page), "left_semi").select("page", "url", "payload", "payload_bytes", "hex", none.alias("refers_to"))
+    short = rows.where(F.col("payload_bytes") < min_bytes).select("page", "url", "payload", "payload_bytes", "hex", none.alias("refers_to"))
+    again = rows.drop("payload").join(last, "hex").where(~F.col("page").eqNullSafe(F.col("last")))
+    again = again.select("page", "url", F.lit(None).cast("binary").alias("payload"), "payload_bytes", "hex", name(F.col("last")).alias("refers_to"))
+    every = holders.unionByName(again)
+    if min_bytes > 0:
+        every = every.unionByName(short)
+    digests = every.select(name(F.col("page")).alias("id"), "url", "payload", "payload_bytes", _base32("hex").alias("digest"), "refers_to")
     return write_archives(digests, folder or scratch(spark, "warc"))
 
 

@@ -4,10 +4,15 @@ A chunk of rows is one byte array; words, their hashes and the hashes of word
 windows are computed with whole-array numpy operations, so that no Python code
 runs per word.  Hashes are polynomials modulo 2**64 over mixed symbols, so a
 window's hash follows from prefix sums (Karp-Rabin) in constant time.
+
+Such polynomials have strings of 1,024 symbols that collide whatever the base
+(Thue-Morse).  Words of over 256 bytes are therefore hashed by BLAKE2b, and
+windows of words must be shorter than ``SPAN_WORDS``.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +22,10 @@ import pyarrow.compute as pc
 #: Bytes handled at once; one longer text makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
-_MASK = (1 << 64) - 1
-_BYTE_BASE = 0x9E3779B97F4A7C15
+#: Bytes of the longest word that has a polynomial hash, words of a window.
+LONG_WORD, SPAN_WORDS = 256, 512
+
+_BYTE_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _WORD_BASE = 0xD1B54A32D192ED03
 
 
@@ -31,7 +38,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BYTE_BASE))
+#: Values of the bytes under the two independent hashes.
+_BYTE_VALUES = [mix(np.arange(1 + 256 * k, 257 + 256 * k, dtype=np.uint64) * np.uint64(base)) for k, base in enumerate(_BYTE_BASES)]
 
 
 def _class(members: bytes) -> np.ndarray:
@@ -63,7 +71,7 @@ class _Powers:
         return self._tables[0], self._tables[1]
 
 
-_byte_powers, _word_powers = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_byte_powers, _word_powers = [_Powers(base) for base in _BYTE_BASES], _Powers(_WORD_BASE)
 
 
 def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -100,25 +108,36 @@ class WordTable:
         self.starts = np.flatnonzero(inside & ~before[:n])
         self.ends = np.flatnonzero(inside & ~after[1:]) + 1
         self.rows = np.searchsorted(offs, self.starts, "right") - 1
-        power, inverse = _byte_powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[data] * power[:n], out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        self._data = data
+        self.hashes = self._word_hashes(0)
         #: first word of each row, and the number of words at the end
         self.bounds = np.searchsorted(self.rows, np.arange(len(offs)))
         self._sums: dict[int, np.ndarray] = {}
 
+    def _word_hashes(self, which: int) -> np.ndarray:
+        """The words' hashes of 64 bits; the two kinds are independent."""
+        data, n = self._data, len(self._data)
+        power, inverse = _byte_powers[which](n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE_VALUES[which][data] * power[:n], out=sums[1:])
+        hashes = mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        for k in np.flatnonzero(self.ends - self.starts > LONG_WORD).tolist():
+            digest = hashlib.blake2b(data[self.starts[k] : self.ends[k]].tobytes(), digest_size=16).digest()
+            hashes[k] = int.from_bytes(digest[8 * which : 8 * which + 8], "little")
+        return hashes
+
     def __len__(self) -> int:
         return len(self.starts)
 
-    def span_hashes(self, first: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-        """Hashes of the word sequences first <= i < end; salts are independent."""
+    def span_hashes(self, first: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+        """Hashes of the word sequences first <= i < end, of under SPAN_WORDS
+        words; ``which`` tells the two independent hashes apart."""
         power, inverse = _word_powers(len(self) + 1)
-        if salt not in self._sums:
-            values = mix(self.hashes ^ np.uint64(salt)) if salt else self.hashes
-            sums = self._sums[salt] = np.zeros(len(self) + 1, np.uint64)
+        if which not in self._sums:
+            values = self._word_hashes(which) if which else self.hashes
+            sums = self._sums[which] = np.zeros(len(self) + 1, np.uint64)
             np.cumsum(values * power[: len(self)], out=sums[1:])
-        sums = self._sums[salt]
+        sums = self._sums[which]
         return mix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64))
 
     def window_starts(self, size: int) -> np.ndarray:

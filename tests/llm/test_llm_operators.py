@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexweave.llm import chat, decontaminate, langid, packing, simhash, substrings, topk, toxicity, urls, warc
+from lexweave.llm import chat, components, decontaminate, langid, packing, runtime, sampling, simhash, substrings, topk, toxicity, urls, warc, words
 from lexweave.llm.queries import URL_RULES, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, id string, key int, slot int, rank int, component long"
@@ -149,27 +149,51 @@ def test_frequent_passages(spark):
     rows = [(k, f"{'head ' * (k % 7)}h{k} {passage} t{k}") for k in range(60)]
     rows += [(100 + k, " ".join(f"w{k}x{j}" for j in range(80))) for k in range(5)] + [(200, "same " * 400)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    anchors = np.array([7, 3, 7, 7, 7, 7, 3, 7], np.uint64)
-    assert substrings._salts(anchors).tolist() == [0, 0, 0, 0, 0, 1, 0, 1]
-    got = substrings.remove_repeats(frame)
-    assert Counter(tuple(r)[:4] for r in got.collect()) == brute_repeats(rows)
-    index = substrings.FingerprintIndex.create(spark, fanout=2)
-    for k in range(3):
-        entries = index.append(frame.where(F.col("doc_id") % 3 == k))
-    expected = {i for i, _, n, _ in brute_repeats(rows) if n}
-    assert {r.rid for r in substrings.repeated_windows(frame, index, entries).collect()} == expected
-
-
-def test_substrings_in_batches(spark):
+    salts, hot, drawn = substrings._salts(np.array([7, 3, 7, 7, 7, 3], np.uint64), np.zeros(0, np.uint64), 0)
+    assert (salts.tolist(), hot.tolist(), drawn) == ([0, 0, 0, 1, 2, 0], [7], 2)
+    assert substrings._salts(np.array([7, 4], np.uint64), hot, drawn)[0].tolist() == [3, 0]
+    for batches in (1, 3):
+        got = substrings.remove_repeats(frame, batches=batches)
+        assert Counter(tuple(r)[:4] for r in got.collect()) == brute_repeats(rows)
+    history = substrings.FingerprintIndex.create(spark, fanout=2)
+    history.append(frame.where("doc_id < 40"), look=False)
+    late = [r for r in rows if r[0] >= 40]
+    got = substrings.remove_repeats(spark.createDataFrame(late, "doc_id long, text string"), index=history)
+    expected = brute_repeats(rows)
+    assert all(tuple(r)[:4] in expected for r in got.collect())
+
+
+def test_index_is_reopened(spark):
+    """Runs are merged, sorted by anchor, and found again by the manifest."""
     frame = awkward(spark)
-    index = substrings.FingerprintIndex.create(spark, fanout=2)
+    index = substrings.FingerprintIndex.create(spark, fanout=2, buckets=3)
     for k in range(3):
-        entries = index.append(frame.where(F.coalesce("doc_id", F.lit(0)) % 3 == k))
-    assert len(index.runs) < 3
-    spans = substrings.repeated_windows(frame, index, entries)
-    flagged = {(r.rid, r.rkey) for r in spans.collect()}
+        index.append(frame.where(F.coalesce("doc_id", F.lit(0)) % 3 == k))
+    assert [x.level for x in index.runs] == [1, 0]
+    for run in index.runs:
+        for files in run.files.values():
+            for columns, _ in substrings.merged([f"{index.path}/{x}" for x in files], [False] * len(files)):
+                assert (np.diff(columns[0]) >= 0).all()
+    again = substrings.FingerprintIndex.open(spark, index.path)
+    assert again == index
+    flagged = {r.key for r in substrings.repeated_windows(frame, again, again.repeated().frame).collect()}
+    texts = {t for i, t in rows_of(frame)}
+    removed = {t for t in texts if any(n for (i, m, n, _), c in brute_repeats(rows_of(frame)).items() if (i, t) in rows_of(frame))}
+    keys = {r.key: r.text for r in frame.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text").collect()}
     expected = {(i, n > 0) for i, _, n, _ in brute_repeats(rows_of(frame)) if n}
-    assert {i for i, _ in flagged} == {i for i, _ in expected}
+    assert {i for i, t in rows_of(frame) if t is not None and t in {keys[k] for k in flagged}} >= {i for i, _ in expected}
+    assert {keys[k] for k in flagged} <= removed
+    with pytest.raises(ValueError):
+        substrings.FingerprintIndex.create(spark, window=100, gram=8)
+
+
+def test_rows_that_share_an_id(spark):
+    """Texts of one id, or of none, are told apart."""
+    words = lambda n, m: " ".join(f"{n}x{k}" for k in range(m))
+    rows = [(1, words("a", 40)), (1, words("b", 40)), (1, words("a", 40) + " tail"), (None, words("c", 50)), (None, words("c", 36)), (1, words("a", 40))]
+    rows += [(7, f"{words(k, 20)} {words('z', 20)}") for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r)[:4] for r in substrings.remove_repeats(frame).collect()) == brute_repeats(rows)
 
 
 def test_removal_against_history(spark):
@@ -195,10 +219,88 @@ def test_removal_against_history(spark):
     assert len(index.runs) < 5
 
 
+def test_words_that_polynomials_confuse(spark):
+    """Thue-Morse words of 2,048 letters have one polynomial hash."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer(f"{word} {other} {word}".encode(), np.uint8)
+    table = words.WordTable(data, np.array([0, len(data)]), words.BLANK_SEPARATED)
+    for which in (0, 1):
+        one, two, three = table._word_hashes(which).tolist()
+        assert one == three != two
+    assert (table.span_hashes(np.array([0]), np.array([1]), 1) != table.span_hashes(np.array([0]), np.array([1]))).all()
+    from tokenizers import Tokenizer
+
+    ids, bounds = packing.WordTokenizer(tokenizer_path()).encode(data, np.array([0, len(data)]))
+    assert ids.tolist() == Tokenizer.from_file(tokenizer_path()).encode(data.tobytes().decode(), add_special_tokens=False).ids
+
+
+def brute_tiles(pattern, text, least):
+    """The longest unmarked match, the first of it, one after the other."""
+    p, t, tiles = [False] * len(pattern), [False] * len(text), []
+    while True:
+        best = (0, 0, 0)
+        for at in range(len(pattern)):
+            for start in range(len(text)):
+                n = 0
+                while at + n < len(pattern) and start + n < len(text) and pattern[at + n] == text[start + n] and not p[at + n] and not t[start + n]:
+                    n += 1
+                if n > best[2]:
+                    best = (at, start, n)
+        at, start, n = best
+        if n < least:
+            return tiles
+        tiles.append(best)
+        p[at : at + n] = [True] * n
+        t[start : start + n] = [True] * n
+
+
+def test_tiles_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(60):
+        pattern = [rng.randrange(4) for _ in range(rng.randint(0, 24))]
+        text = [rng.randrange(4) for _ in range(rng.randint(0, 40))]
+        assert decontaminate.greedy_tiles(pattern, text, 3, 99) == brute_tiles(pattern, text, 3)
+
+
+def test_contamination_against_brute_force(spark):
+    """Items against every document, with shuffled passages, repeats and nulls."""
+    rng = random.Random(9)
+    token = lambda: f"t{rng.randrange(60)}"
+    items = [(k, " ".join(token() for _ in range(rng.randint(1, 14)))) for k in range(24)] + [(None, "t1 t2 t3 t4 t5 t6"), (50, ""), (51, None)]
+    items += [items[0], items[20]]
+    docs = [(k, " ".join(token() for _ in range(rng.randint(0, 60)))) for k in range(60)]
+    for k in range(40):
+        parts = items[rng.randrange(24)][1].split()
+        cut = rng.randrange(len(parts))
+        docs.append((100 + k, " ".join([token(), *parts[cut:], token(), *parts[:cut], token()])))
+    docs += [(None, items[3][1]), (None, None), (7, "")]
+    expected = Counter()
+    for i, text in docs:
+        for j, item in items:
+            a, b = (item or "").split(), (text or "").split()
+            if not a:
+                continue
+            tiles = brute_tiles(a, b, min(5, len(a)))
+            tiles = [x for x in tiles if len(a) >= 5 or x[2] == len(a)][: None if len(a) >= 5 else 1]
+            covered = sum(n for _, _, n in tiles)
+            if covered >= 0.5 * len(a):
+                expected[(i, j, covered, len(tiles))] += 1
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (2_000_000, 20):
+        got = Counter((r.id, r.item, r.covered, r.tiles) for r in decontaminate.contaminated_pairs(d, b, block_tokens=block).collect())
+        assert got == expected
+    gone = {(i, t) for i, t in docs for e in expected if e[0] == i}
+    kept = Counter(rows_of(decontaminate.without_contaminated(d, b)))
+    assert sum(kept.values()) == len(docs) - len({id(x) for x in docs if any(e[0] == x[0] for e in expected) and (x[1] or "").strip()}) and gone
+
+
 def test_decontamination(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     first, second = " ".join(item.split()[:10]), " ".join(item.split()[10:])
-    bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, "other words that never occur in any of the documents here")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "two short"), (4, "other words that never occur in any of the documents here")], "item_id long, text string")
     frame = awkward(spark, ["noise " + item.upper() + " noise", f"{second}, and then {first}.", " ".join(item.split()[:6])])
     texts = dict(rows_of(frame.where("text ilike '%alpha%' or text ilike '%lambda%'")))
     got = {(r.id, r.item): (r.covered, r.tiles) for r in decontaminate.contaminated_pairs(frame, bench).collect()}
@@ -212,7 +314,7 @@ def test_decontamination(spark):
 
 
 def test_tiles_are_greedy():
-    tiles = decontaminate.greedy_tiles([1, 2, 3, 4, 5, 6], [4, 5, 6, -1, 1, 2, 3, 4], 2, 4)
+    tiles = decontaminate.greedy_tiles([1, 2, 3, 4, 5, 6], [4, 5, 6, 99, 1, 2, 3, 4], 2, 4)
     assert tiles == [(0, 4, 4), (4, 1, 2)]
 
 
@@ -279,6 +381,23 @@ def test_warc_salvage():
     a, b, c = len(members[0]), len(members[0]) + len(broken), len(members[0]) + len(broken) + len(members[2])
     assert gaps == [(a, b), (c, c + 4), (c + 4 + len(plain[3]), len(data))]
     assert gzip.decompress(members[0]) == plain[0]
+    # A member of three records with a bad one among them, and one that is cut off.
+    bad = plain[1].replace(b"payload 1", b"PAYLOAD 1", 1)
+    whole = warc.member(plain[0] + bad + plain[2])
+    items = list(warc.SalvageReader(io.BytesIO(whole + members[3]), step=50))
+    assert [x.headers.get("warc-record-id") for x in items] == ["<urn:0>", None, "<urn:2>", "<urn:3>"]
+    gap = items[1]
+    assert (gap.start, gap.reason, gap.inner, gap.inner_end) == (0, "digest mismatch", len(plain[0]), len(plain[0] + bad)) and items[2].end == len(whole)
+    rng = np.random.default_rng(3)
+    noise = [warc.record("response", f"urn:n{k}", "http://x/", x, warc.base32_sha1(x)) for k, x in enumerate(rng.bytes(4000) for _ in range(4))]
+    cut = warc.member(b"".join(noise))[:13_000]
+    items = list(warc.SalvageReader(io.BytesIO(cut + members[3] + plain[2])))
+    good = [x.headers["warc-record-id"] for x in items if x.reason is None]
+    assert good == ["<urn:n0>", "<urn:n1>", "<urn:3>", "<urn:2>"][: 2 if len(good) == 4 else 3][:2] + good[2:] and good[-2:] == ["<urn:3>", "<urn:2>"] and "<urn:n1>" in good
+    (lost,) = [x for x in items if x.reason is not None]
+    assert (lost.start, lost.end) == (0, len(cut)) and lost.inner >= len(noise[0])
+    assert [x.reason for x in warc.SalvageReader(io.BytesIO(plain[0]), limit=10)] == ["block over the limit"]
+    assert list(warc.SalvageReader(io.BytesIO(b""))) == []
     bad = plain[0].replace(b"payload 0", b"PAYLOAD 0", 1)
     assert [x.reason for x in warc.SalvageReader(io.BytesIO(bad + plain[1]))] == ["digest mismatch", None]
 
@@ -375,7 +494,10 @@ def test_urls(spark):
         assert (rows[k].rule, rows[k].host, rows[k].path) == (rule, host, path)
     last = len(cases)
     assert rows[last - 2].verdict == "block" and rows[last - 1].verdict == "allow" and rows[None].verdict == "allow"
-    one = urls.fit_url_model(urls.weak_labels(frame.limit(0)))
+    assert len({r.score for r in rows.values()}) > 2 and set(urls.lexical_features(F.col("url"), F.col("host"), F.col("path"))) == set(urls.FEATURES)
+    labels = Counter((r.url, r.label) for r in urls.labelled_urls(frame, URL_RULES).collect())
+    assert labels == Counter({("http://A.COM/x", 0.0): 1, ("http://example.com/en/1", 1.0): 1, ("http://www.Example.com/en/?a", 0.0): 1, ("http://notexample.com/en/", 0.0): 1, ("https://x.net/fr/1#b", 1.0): 1, (bad[0], 1.0): 1})
+    one = urls.fit_url_model(urls.labelled_urls(frame.limit(0), URL_RULES))
     assert urls.filter_urls(frame.limit(0), one, URL_RULES).count() == 0
 
 
@@ -402,3 +524,224 @@ def test_tool_calls(spark):
     messages = spark.createDataFrame([(1, 0, "assistant", '{"tool_calls":[{"id":"k","name":"add","arguments":{"a":3}}]}'), (1, 1, "tool", '{"tool_call_id":"k","content":"3"}'), (1, 2, "user", None)], "conv_id long, turn long, role string, text string")
     (x,) = chat.link_calls(*chat.parse_messages(messages), schema).collect()
     assert (x.status, x.valid, x.json) == ("linked", True, '{"arguments":{"a":3},"id":"k","name":"add","result":"3"}')
+
+
+def test_url_features_against_plain_code(spark):
+    import math
+
+    cases = ["http://a-b.c1.org/x/yy/3?p=1&q=2#f", "https://xx.net", "ftp://É.com//", "http://h" + "o" * 3000 + ".biz/" + "9" * 2000, "http://h" + "o" * 3000 + ".biz/" + "9" * 2000]
+    host, path = urls.host_and_path(F.col("url"))
+    rows = spark.createDataFrame([(x,) for x in cases], "url string").withColumn("host", host).withColumn("path", path)
+    found = rows.select("host", "path", *[c.alias(n) for n, c in urls.lexical_features(F.col("url"), F.col("host"), F.col("path")).items()]).collect()
+
+    def entropy(x):
+        return -sum(n / len(x) * math.log2(n / len(x)) for n in Counter(x).values()) if x else 0.0
+
+    for url, r in zip(cases, found, strict=True):
+        h, p = r.host, r.path
+        assert (r.url_length, r.host_length, r.path_length, r.depth, r.labels, r.hyphens) == (len(url), len(h), len(p), p.count("/"), h.count("."), h.count("-"))
+        assert (r.parameters, r.fragment, r.secure, r.longest_label) == ((url.count("&") + url.count("=")) / 2, url.count("#"), float(url.startswith("https")), max(map(len, h.split("."))))
+        assert r.host_digits == pytest.approx(sum(c.isdigit() for c in h) / max(1, len(h))) and r.vowels == pytest.approx(sum(c in "aeiou" for c in h) / max(1, len(h)))
+        assert r.host_entropy == pytest.approx(entropy(h)) and r.path_entropy == pytest.approx(entropy("".join("0" if c in "0123456789" else c for c in p)))
+
+
+def test_url_trees_against_a_plain_sum(spark):
+    """Scores are the logistic of twice the trees' weighted sum; urls of a fold
+    that the trees have not seen are told apart."""
+    pages = spark.createDataFrame([(f"http://{'www.' * (k % 2)}{'win-' if k % 3 == 0 else ''}h{k % 40}.{('com', 'net', 'org')[k % 5 % 3]}/{('en', 'fr')[k % 2]}/{k}",) for k in range(600)] + [("http://h1.com/x",)] * 3, "url string")
+    labelled = urls.labelled_urls(pages, URL_RULES)
+    model = urls.fit_url_model(labelled.where("crc32(cast(url as binary)) % 4 <> 2"))
+    host, path = urls.host_and_path(F.col("url"))
+    rows = labelled.where("crc32(cast(url as binary)) % 4 = 2").withColumn("host", host).withColumn("path", path)
+    scored = model.scored(rows).collect()
+    ones, zeros = [r.score for r in scored if r.label == 1], [r.score for r in scored if r.label == 0]
+    auc = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
+    assert auc > 0.9
+    from pyspark.ml.feature import VectorAssembler
+
+    vectors = VectorAssembler(inputCols=urls._NAMES, outputCol="v").transform(urls._with_features(rows, model.suffixes, model.rate, "host", "path", "url")).select("url", "v").collect()
+    score = {r.url: r.score for r in scored}
+    for r in vectors:
+        margin = sum(w * tree.predict(r.v) for w, tree in zip(model.trees.treeWeights, model.trees.trees, strict=True))
+        assert score[r.url] == pytest.approx(1 / (1 + np.exp(-2 * margin)))
+
+
+def test_language_against_plain_cosine(spark):
+    """The nearest centroid by cosine, counted n-gram by n-gram."""
+    rng = random.Random(1)
+    vocabulary = {"aa": "abcde", "bb": "defgh", "cc": "ghijé"}
+    text = lambda lang, n: " ".join("".join(rng.choices(vocabulary[lang], k=4)) for _ in range(n))
+    labelled = spark.createDataFrame([(k, text(lang, 30), lang) for k in range(30) for lang in vocabulary], "doc_id long, text string, lang string")
+    model = langid.fit_centroids(labelled, per_language=20, centroids=2)
+    assert len(model.centres) == 6
+    held = [text(lang, n) for lang in vocabulary for n in (1, 3, 40)] + [text("aa", 20) + " " + text("bb", 21), "Éé 12", "!!"]
+
+    def plain(t):
+        letters = "".join(c if c.isalpha() else " " for c in t.lower())
+        if not letters.strip():
+            return "und", 0.0
+        padded = " " + "".join(c for k, c in enumerate(letters) if c != " " or (k and letters[k - 1] != " ")) + " "
+        counts = Counter()
+        for size in (1, 2, 3):
+            for k in range(len(padded) - size + 1):
+                one = [ord(c) for c in padded[k : k + size]]
+                h = one[0] * 2654435761
+                if size > 1:
+                    h = ((h & 0xFFFFFFFF) ^ (one[1] * 2246822519 & 0xFFFFFFFF)) * 3266489917
+                if size > 2:
+                    h = ((h & 0xFFFFFFFF) ^ (one[2] * 668265263 & 0xFFFFFFFF)) * 374761393
+                counts[(h & 0xFFFFFFFF) >> 19] += 1
+        vector = {b: np.log1p(n) * model.idf[b] for b, n in counts.items()}
+        norm = np.sqrt(sum(x * x for x in vector.values()))
+        cosines = [sum(x * centre[b] for b, x in vector.items()) / norm for centre in model.centres]
+        best = int(np.argmax(cosines))
+        return model.languages[model.owner[best]], cosines[best]
+
+    found = langid.identify(spark.createDataFrame([(t,) for t in held], "text string"), model).collect()
+    for t, r in zip(held, found, strict=True):
+        language, score = plain(t)
+        assert r.lang_pred == language and r.lang_score == pytest.approx(score, abs=1e-4)
+
+
+def test_toxicity_against_plain_counts(spark):
+    """Counts and scores of whole texts, word by word with every term."""
+    model = toxicity.ToxicityModel(toxicity.Lexicon({"idiot": 1.0, "idiom": 0.5, "scum": 1.0}, {"vermi": 1.0}, frozenset({"idyot"})), np.array([-2.0, 1, 2, 0.5, 0.25, 1]))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    def weight(word):
+        lexicon = model.lexicon
+        if word in lexicon.terms:
+            return lexicon.terms[word]
+        if word[:5] in lexicon.stems:
+            return 1.0
+        near = min(((distance(word.translate(toxicity.LEET), t), t) for t in lexicon.terms if distance(word.translate(toxicity.LEET), t) <= toxicity.edit_limit(t)), default=None)
+        return 0.0 if near is None or word in lexicon.clean else lexicon.terms[near[1]] * 0.8 ** near[0]
+
+    texts = ["you idiot", "idio", "the man said \"idiot\" today", "an idi0t, vermin and scvm", "idyot", "", None, "plain words only", "far " * 30 + "idiot " + "far " * 30]
+    kinds = {0: "aimed", 2: "quoted"}
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, "you idiot"), (0, "you idiot")], "doc_id long, text string")
+    found = toxicity.score_toxicity(frame, model).collect()
+    for k, t in enumerate(texts):
+        tokens = [x.strip("\",") for x in (t or "").split()]
+        total = sum(map(weight, tokens))
+        direct, quoted = (0.0, total) if kinds.get(k) == "quoted" else (total, 0.0)
+        aimed = total if kinds.get(k) == "aimed" else 0.0
+        row = [1, min(direct, 1), np.log1p(direct), np.log1p(100 * direct / max(len(tokens), 1)), np.log1p(quoted) * (direct == 0), np.log1p(aimed)]
+        assert found[k].score == pytest.approx(1 / (1 + np.exp(-np.dot(row, model.beta))))
+    assert found[-1].score == found[-2].score == found[0].score and found[-2].id is None
+
+
+def test_samples_are_bounded(spark):
+    """20,000 copies of one row, or of one text, exceed no bound."""
+    rows = [(5, "copy", 1)] * 20_000 + [(k, "copied text", 1) for k in range(10_000)] + [(k, f"text {k}", k % 2) for k in range(3000)] + [(1, None, 1), (2, "x", None)]
+    frame = sampling.placed(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    sample, sizes = sampling.class_sample(frame, frame, "label", "text", 200)
+    assert sizes == {0: 1500, 1: 31_500}
+    assert Counter(x for x, _, _ in sample) == {0: 200, 1: 200} and all(n == (20_000 if t == "copy" else 1) for _, t, n in sample)
+    assert sampling.class_sample(frame, frame, "label", "text", 200) == (sample, sizes)
+    small, _ = sampling.class_sample(frame, frame, "label", "text", 200, class_bytes=50)
+    assert all(sum(len(t) for x, t, _ in small if x == label) <= 50 for label in (0, 1)) and small
+    labelled = spark.createDataFrame([(f"http://a{k % 30}.com/", float(k % 2)) for k in range(3000)], "url string, label double")
+    assert urls.fit_url_model(labelled, per_class=10).trees is not None
+
+
+def test_components(spark):
+    """One task and star rounds agree with a plain search."""
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000, 1000 + k) for k in range(50)] + [(-5, 7), (-5, -(1 << 63)), (3, 3), (1000, 1001)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(300):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    expected = {(x, r) for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+    frame = spark.createDataFrame(edges, "a long, b long")
+    for limit in (1 << 20, 7):
+        assert {tuple(r) for r in components.connected_components(frame, task_edges=limit).collect()} == expected
+    assert components.connected_components(frame.limit(0)).count() == 0
+
+
+def test_written_tables(spark):
+    """Nulls, nested values, names and empty tables come back as they were."""
+    frame = spark.createDataFrame([(1, "a", [1, None], (2, "x"), b"\0"), (None, None, None, None, None)], "k long, t string, l array<int>, s struct<a:int, b:string>, y binary")
+    table = runtime.stored(frame.withColumn("at", F.timestamp_seconds(F.col("k"))), "round-trip")
+    assert sorted(map(str, table.frame.collect())) == sorted(map(str, frame.withColumn("at", F.timestamp_seconds(F.col("k"))).collect())) and table.rows == 2
+    empty = runtime.stored(frame.limit(0), "round-trip")
+    assert empty.frame.schema == frame.schema and empty.rows == 0 == empty.frame.count()
+    table.drop()
+
+
+def test_tool_call_levels(spark):
+    """Chains, forks and cycles against a plain search; a long conversation."""
+    rng = random.Random(12)
+    calls = [(1, k, f"c{k}", "t", "{}", [f"c{k - 1}"]) for k in range(200)]
+    calls += [(2, k, f"c{k}", "t", "{}", [f"c{rng.randrange(60)}" for _ in range(rng.randint(0, 3)) if k] if k % 3 else [f"c{k - 1}"]) for k in range(40)]
+    calls += [(3, 0, "a", "t", "{}", ["a"]), (3, 1, "b", "t", "{}", ["a", "c"]), (3, 2, "c", "t", "{}", None), (3, 3, "d", "t", "{}", ["b"])]
+    frame = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, after array<string>")
+    known = {(c, i): [(c, x) for x in dict.fromkeys(after or []) if any(y[0] == c and y[2] == x for y in calls)] for c, _, i, _, _, after in calls}
+    level: dict = {}
+    for _ in range(250):
+        for call, needs in known.items():
+            if call not in level and all(x in level for x in needs):
+                level[call] = max((level[x] + 1 for x in needs), default=0)
+    got = {(r.conv_id, r.call_id): r.level for r in chat.link_calls(frame, frame.select("conv_id", "turn", "call_id", F.lit("").alias("content")).limit(0), {"t": {}}).collect()}
+    assert got == {call: level.get(call) for call in known}
+
+
+def test_tool_calls_awkward(spark):
+    """Clashing columns, long texts and rows that are repeated as a whole."""
+    long = "word " * 100_000
+    turns = [(1, 0, "system", long), (1, 1, "user", "q"), (1, 2, "assistant", long), (1, 3, "user", None), (2, 0, "user", "alone"), (None, 0, "user", "x"), (3, None, "user", "x"), (4, 1, "assistant", "late")]
+    frame = spark.createDataFrame([(*x, "c", "n", 1) for x in turns + turns], "conv_id long, turn long, role string, text string, call_id string, name string, level int")
+    got = {(r.conv_id, r.call_id): (r.name, r.status, r.level, r.n_calls, r.n_results, r.valid) for r in chat.link_calls(*chat.exchanges(frame), chat.EXCHANGE_SCHEMAS).collect()}
+    assert got == {
+        (1, "turn-0"): ("setup", "unanswered", 0, 2, 0, False),
+        (1, "turn-1"): ("reply", "linked", 1, 2, 2, True),
+        (1, "turn-3"): ("reply", "unanswered", 2, 2, 0, False),
+        (2, "turn-0"): ("reply", "unanswered", 0, 2, 0, True),
+        (4, "turn-0"): (None, "orphan", None, 0, 2, False),
+    }
+
+
+def test_topk_ids_and_bounds(spark):
+    """Ids near 2**63 and of other kinds; bounds skip candidates without loss."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 8)) * 10
+    vectors = [((1 << 63) - 1 - 20 * k, [float(x) for x in centres[k % 6] + 0.1 * rng.normal(size=8)]) for k in range(3000)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    asked = F.col("id") % 77 == 0
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(frame, asked, k=3).collect()}
+    x = np.floor(64 * np.array([v for _, v in vectors], np.float32).astype(float))
+    ids = np.array([i for i, _ in vectors])
+    expected = {}
+    for q in np.flatnonzero(ids % 77 == 0):
+        scores = x @ x[q]
+        best = sorted((-int(s), int(i)) for s, i in zip(scores, ids, strict=True) if i != ids[q])[:3]
+        expected |= {(int(ids[q]), n): (i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert got == expected
+    evaluated, met = topk.evaluated_share(frame, asked, k=3)
+    assert met == len({q for q, _ in expected}) * (len(vectors) - 1) and evaluated < 0.6 * met
+    with pytest.raises(ValueError, match="integer"):
+        topk.top_k(frame.withColumn("vec_id", F.col("vec_id").cast("string")), asked)
+
+
+def test_near_copies_of_a_large_group(spark):
+    """A group that is dealt out in parts keeps one text of its copies."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(120)]
+    rows = []
+    for k in range(150):
+        own = list(base)
+        own[rng.randrange(120)] = f"x{k}"
+        rows.append((1, k, k, 800, " ".join(own)))
+    rows += [(1, 200 + k, 200 + k, 800, " ".join(f"y{k}x{j}" for j in range(120))) for k in range(40)]
+    frame = spark.createDataFrame(rows, "group long, id long, hash long, size long, text string")
+    whole = {r.hash for r in simhash.similar_heads(frame, frame.select("id", "hash", "text")).collect()}
+    parts = {r.hash for r in simhash.similar_heads(frame, frame.select("id", "hash", "text"), part_bytes=16_000).collect()}
+    assert whole == parts == {0, *range(200, 240)}
