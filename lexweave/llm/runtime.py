@@ -200,6 +200,16 @@ def written_by_spark(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Narrow rows that are broadcast: about 20 MB.
+BROADCAST_ROWS = 1 << 18
+
+
+def small(frame: DataFrame, rows: int) -> DataFrame:
+    """The side of a join, to be broadcast if its counted rows are few enough;
+    more are shuffled."""
+    return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame
+
+
 def text_of(column: str):
     """The text column with null as the empty string."""
     return F.coalesce(F.col(column), F.lit(""))

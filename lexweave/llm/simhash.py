@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.components import connected_components
-from lexweave.llm.runtime import arrow_map, stored, stored_map, text_of, written
+from lexweave.llm.runtime import arrow_map, small, stored, stored_map, text_of, written
 from lexweave.llm.words import mix
 
 BITS = 64
@@ -107,16 +107,20 @@ def _segments(max_bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _variants(values: DataFrame, max_bits: int) -> DataFrame:
-    """(slot, rest, value): every one-wildcard variant of each segment."""
-    slots = []
+def _runs(values: DataFrame, max_bits: int) -> DataFrame:
+    """(slot, rest, value): every one-wildcard variant of each segment, sorted
+    so that equal ones meet.  The shuffle carries slot and value alone; they
+    give the rest, the segment's bits but the wildcard, where it is needed."""
+    masks = []
     for low, width in _segments(max_bits):
-        segment = F.shiftrightunsigned("value", low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
-        for bit in range(width):
-            wildcard = ~(1 << bit) & ((1 << 64) - 1)
-            wildcard -= (wildcard >> 63) << 64
-            slots.append(F.struct((F.col("signature") * BITS + F.lit(low + bit)).alias("slot"), segment.bitwiseAND(F.lit(wildcard)).alias("rest")))
-    return values.select(F.inline(F.array(*slots)), "value")
+        for bit in range(low, low + width):
+            mask = (((1 << width) - 1) << low) & ~(1 << bit)
+            masks.append(mask - ((mask >> 63) << 64))
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = F.col("value").bitwiseAND(F.element_at(F.array(*map(F.lit, masks)), F.pmod("slot", F.lit(BITS)) + 1))
+    first = F.col("signature") * BITS
+    each = values.select(F.explode(F.sequence(first, first + (BITS - 1))).alias("slot"), "value")
+    return each.repartition(parts, F.col("slot"), rest).select("slot", rest.alias("rest"), "value").sortWithinPartitions("slot", "rest", "value")
 
 
 class _Linker:
@@ -253,9 +257,7 @@ def _links(values: DataFrame, max_bits: int, run_limit: int) -> DataFrame:
     """``(signature, a, b)`` between distinct ``values(signature int, value)``."""
     if max_bits > 2:
         run_limit = BITS << 40
-    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = _variants(values, max_bits).repartition(parts, "slot", "rest").sortWithinPartitions("slot", "rest", "value")
-    found = stored_map(runs, _scan_runs(max_bits, run_limit), "signature int, a long, b long", "links").frame
+    found = stored_map(_runs(values, max_bits), _scan_runs(max_bits, run_limit), "signature int, a long, b long", "links").frame
     links = found.where("a <> b")
     wide = found.where("a = b").select("signature", F.col("a").alias("value")).distinct()
     if not wide.isEmpty():
@@ -410,7 +412,7 @@ def similar_heads(rivals: DataFrame, texts: DataFrame, shingle: int = 5, least:
         enough = F.least(F.ceil(F.sum("size") / part_bytes), F.floor(F.count("*") / 16)).cast("long")
         sizes = written(rivals.frame.groupBy("group").agg(F.greatest(enough, F.lit(1)).alias("parts")), "group-sizes")
         dealt = rivals.frame.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("hash", F.lit(number)), "parts"))
-        whole = texts.join(dealt.withColumnsRenamed({"id": "rid", "hash": "rhash"}), F.col("id").eqNullSafe(F.col("rid")) & (F.col("hash") == F.col("rhash"))).drop("rid", "rhash")
+        whole = texts.join(small(dealt, rivals.rows).withColumnsRenamed({"id": "rid", "hash": "rhash"}), F.col("id").eqNullSafe(F.col("rid")) & (F.col("hash") == F.col("rhash"))).drop("rid", "rhash")
         heads = stored_map(*_part_heads(whole, shingle, least), "heads").frame
         stays.append(heads.where("parts = 1").select("hash"))
         rest = stored(heads.where("parts > 1").select("group", "id", "hash", "size"), "candidates")
