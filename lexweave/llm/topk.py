@@ -28,6 +28,8 @@ PIVOTS = 128
 PIVOT_SAMPLE = 2000
 #: Candidates, and queries, of a block; candidates that are evaluated at once.
 BLOCK, QUERY_BLOCK, STEP = 1024, 512, 256
+#: Queries whose bounds are computed at once, in the processor's cache.
+TILE = 64
 _FOUND = "query_id long, vec_id long, score long, met long, evaluated long, share long"
 
 
@@ -136,12 +138,16 @@ class _Best:
 
 def _bounds(squares: np.ndarray, table: np.ndarray, query_squares: np.ndarray, query_table: np.ndarray) -> np.ndarray:
     """Upper bounds of the inner products, (queries, candidates)."""
+    columns = np.ascontiguousarray(table.T)
     apart = np.zeros((len(query_table), len(table)), np.float32)
-    difference = np.empty_like(apart)
-    for p in range(table.shape[1]):
-        np.subtract(query_table[:, p, None], np.ascontiguousarray(table[:, p])[None, :], out=difference)
-        np.abs(difference, out=difference)
-        np.maximum(apart, difference, out=apart)
+    difference = np.empty((TILE, len(table)), np.float32)
+    for a in range(0, len(apart), TILE):
+        part = apart[a : a + TILE]
+        own = difference[: len(part)]
+        for p, column in enumerate(columns):
+            np.subtract(query_table[a : a + TILE, p, None], column[None, :], out=own)
+            np.abs(own, out=own)
+            np.maximum(part, own, out=part)
     both = query_squares[:, None] + squares[None, :]
     # Distances are held as floats of 24 bits: the slack covers their rounding.
     apart = np.maximum(apart.astype(np.float64) - 4e-7 * np.sqrt(2 * both) - 1e-3, 0)
