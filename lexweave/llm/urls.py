@@ -3,7 +3,9 @@
 Native: features, rules and verdicts are SQL expressions; the trees are
 trained and applied by Spark's ML library on the JVM.  The features are
 lexical: length, depth, digit ratio, entropy, parameter counts and the label
-statistics of the host's suffix, which are counted over all labelled URLs.
+statistics of the host's suffix and of the path's first section, which are
+counted over all labelled URLs; a URL that is learned from is given the counts
+of the other folds, so that its own label is not among them.
 
 Labelled are the URLs that a rule judges (blocked or allowed) and those whose
 host has a word of a fixed list (blocked): the trees extend these judgements
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.runtime import written_by_spark
 
+#: Parts of the labelled URLs, by hash, that are left out of each other's counts.
+FOLDS = 4
 #: Distinct labelled URLs that are drawn of each class for training, at most.
 PER_CLASS = 5000
-#: Labels that a suffix is given of the overall rate, against chance.
+#: Labels of the overall rate that a suffix or section is given, against chance.
 PRIOR = 10
 #: Host words of advertising, adult, gambling, pharmacy and spam lists.
 BLOCKED_WORDS = ("ads", "adult", "bet", "bets", "casino", "cheap", "escort", "free", "loan", "pills", "poker", "porn", "slots", "spam", "track", "viagra", "win", "xxx")
@@ -61,7 +65,7 @@ def _entropy(text: Column) -> Column:
 
 
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "hyphens", "host_digits", "url_digits", "vowels", "parameters", "fragment", "secure", "longest_label", "host_entropy", "path_entropy")
-_NAMES = [f"lexweave_{x}" for x in (*FEATURES, "suffix_rate")]
+_NAMES = [f"lexweave_{x}" for x in (*FEATURES, "suffix_rate", "section_rate")]
 
 
 def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Column]:
@@ -92,29 +96,48 @@ def _suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
+def _section(path: Column) -> Column:
+    return F.regexp_extract(path, "^/([^/]*)", 1)
+
+
 @dataclass
 class UrlModel:
-    """Trees, ``(suffix, suffix_rate)`` and the overall rate of blocked urls."""
+    """Trees, label counts of suffixes and sections, the rate of blocked urls."""
 
     trees: GBTClassificationModel | None
-    suffixes: DataFrame | None
+    counts: dict[str, DataFrame]
     rate: float
 
     def scored(self, rows: DataFrame, host: str = "host", path: str = "path", url: str = "url") -> DataFrame:
         """Adds ``score``: the probability that the url is to be blocked."""
         if self.trees is None:
             return rows.withColumn("score", F.lit(self.rate))
-        assembled = VectorAssembler(inputCols=_NAMES, outputCol="lexweave_features").transform(_with_features(rows, self.suffixes, self.rate, host, path, url))
+        assembled = VectorAssembler(inputCols=_NAMES, outputCol="lexweave_features").transform(_with_features(rows, self.counts, self.rate, host, path, url))
         return self.trees.transform(assembled).withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
 
 
-def _with_features(rows: DataFrame, suffixes: DataFrame, rate: float, host: str, path: str, url: str) -> DataFrame:
-    """A written table of suffixes is small unless hosts are garbage: Spark
-    broadcasts it under its threshold, else splits the rows of a frequent one."""
+def _fold(url: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(url), F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
+def _with_features(rows: DataFrame, counts: dict[str, DataFrame], rate: float, host: str = "host", path: str = "path", url: str = "url", learned: bool = False) -> DataFrame:
+    """Adds the features; rows that are ``learned`` from leave their fold out.
+
+    The written tables of counts are small unless urls are garbage: Spark
+    broadcasts them under its threshold, else splits the rows of a frequent key.
+    """
     features = lexical_features(F.col(url), F.col(host), F.col(path))
-    rows = rows.withColumns({f"lexweave_{name}": value for name, value in features.items()} | {"lexweave_suffix": _suffix(F.col(host))})
-    found = rows.join(suffixes.withColumnRenamed("suffix", "lexweave_suffix"), "lexweave_suffix", "left")
-    return found.withColumn("lexweave_suffix_rate", F.coalesce("suffix_rate", F.lit(rate))).drop("suffix_rate", "lexweave_suffix")
+    rows = rows.withColumns({f"lexweave_{name}": value for name, value in features.items()} | {"lexweave_suffix": _suffix(F.col(host)), "lexweave_section": _section(F.col(path))})
+    for kind, table in counts.items():
+        key = f"lexweave_{kind}"
+        found = rows.join(table.toDF(key, "lexweave_sums", "lexweave_ns"), key, "left")
+        total = lambda name: F.aggregate(F.coalesce(name, F.array()), F.lit(0.0), lambda a, x: a + x)
+        ones, every = total("lexweave_sums"), total("lexweave_ns")
+        if learned:
+            own = lambda name: F.coalesce(F.try_element_at(F.col(name), _fold(url) + 1), F.lit(0.0))
+            ones, every = ones - own("lexweave_sums"), every - own("lexweave_ns")
+        rows = found.withColumn(f"{key}_rate", (ones + PRIOR * rate) / (every + PRIOR)).drop(key, "lexweave_sums", "lexweave_ns")
+    return rows
 
 
 def labelled_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url") -> DataFrame:
@@ -128,7 +151,7 @@ def labelled_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str =
     return rows.where(host != "").select("url", label.alias("label")).where("label is not null")
 
 
-def fit_url_model(labelled: DataFrame, per_class: int = PER_CLASS, rounds: int = 20, depth: int = 4) -> UrlModel:
+def fit_url_model(labelled: DataFrame, per_class: int = PER_CLASS, rounds: int = 30, depth: int = 4) -> UrlModel:
     """Boosted trees on at most ``per_class`` distinct urls of each class of
     ``(url, label)``, each with its number of copies as weight.
 
@@ -138,7 +161,7 @@ def fit_url_model(labelled: DataFrame, per_class: int = PER_CLASS, rounds: int =
     sizes = {int(r[0]): (r[1], r[2]) for r in labelled.groupBy("label").agg(F.count("*"), F.approx_count_distinct("url")).collect()}
     total = sum(n for n, _ in sizes.values())
     if len(sizes) < 2:
-        return UrlModel(None, None, float(next(iter(sizes), 0)))
+        return UrlModel(None, {}, float(next(iter(sizes), 0)))
     space = 1 << 40
     place = F.pmod(F.xxhash64("url"), F.lit(space))
     drawn = []
@@ -149,12 +172,14 @@ def fit_url_model(labelled: DataFrame, per_class: int = PER_CLASS, rounds: int =
         drawn += [(r.url, r.label, 0.5 * total / size * r.copies) for r in rows]
     host, path = host_and_path(F.col("url"))
     rate = sizes[1][0] / total
-    named = labelled.select(_suffix(host).alias("suffix"), "label")
-    suffixes = written_by_spark(named.groupBy("suffix").agg(((F.sum("label") + PRIOR * rate) / (F.count("*") + PRIOR)).alias("suffix_rate")), "suffixes")
+    kinds = {"suffix": _suffix(host), "section": _section(path)}
+    of_fold = lambda value, k: F.sum(F.when(_fold("url") == k, value).otherwise(0.0))
+    folds = [F.array(*[of_fold(value, k) for k in range(FOLDS)]) for value in (F.col("label"), F.lit(1.0))]
+    counts = {kind: written_by_spark(labelled.groupBy(key.alias(kind)).agg(*folds).toDF(kind, "sums", "ns"), kind) for kind, key in kinds.items()}
     sample = spark.createDataFrame(drawn, "url string, label double, weight double").withColumn("host", host).withColumn("path", path)
-    rows = VectorAssembler(inputCols=_NAMES, outputCol="lexweave_features").transform(_with_features(sample, suffixes, rate, "host", "path", "url"))
-    trees = GBTClassifier(featuresCol="lexweave_features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, seed=7)
-    return UrlModel(trees.fit(rows.select("lexweave_features", "label", "weight")), suffixes, rate)
+    rows = VectorAssembler(inputCols=_NAMES, outputCol="lexweave_features").transform(_with_features(sample, counts, rate, learned=True))
+    trees = GBTClassifier(featuresCol="lexweave_features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, featureSubsetStrategy="onethird", seed=7)
+    return UrlModel(trees.fit(rows.select("lexweave_features", "label", "weight")), counts, rate)
 
 
 def filter_urls(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:

@@ -559,7 +559,7 @@ def test_url_trees_against_a_plain_sum(spark):
     assert auc > 0.9
     from pyspark.ml.feature import VectorAssembler
 
-    vectors = VectorAssembler(inputCols=urls._NAMES, outputCol="v").transform(urls._with_features(rows, model.suffixes, model.rate, "host", "path", "url")).select("url", "v").collect()
+    vectors = VectorAssembler(inputCols=urls._NAMES, outputCol="v").transform(urls._with_features(rows, model.counts, model.rate)).select("url", "v").collect()
     score = {r.url: r.score for r in scored}
     for r in vectors:
         margin = sum(w * tree.predict(r.v) for w, tree in zip(model.trees.treeWeights, model.trees.trees, strict=True))
