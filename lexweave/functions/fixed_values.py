@@ -326,3 +326,6 @@ PARTICLES = (
     "까지는",
     "이라는",
 )
+
+# Sections of a draft.
+DRAFT_SECTIONS = ("지시문", "현행", "개정안", "부칙", "연관항")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Paragraph marks and reference forms of statutes.
 SYMBOLS = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
 ARTICLE = r"제(?:(\d+)의(\d+)조|(\d+)조(?:의(\d+))?)"
 PARTS = ARTICLE + r"(?:제(\d+)항)?(?:제(\d+)호)?"
@@ -12,6 +13,11 @@ PARTS = ARTICLE + r"(?:제(\d+)항)?(?:제(\d+)호)?"
 DIRECT = r"제(\d+)조(?:의(\d+))?(?:제(\d+)항)?(?:제(\d+)호)?(?:제(\d+)목)?"
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def first_filled(*options: Column) -> Column:
     """The first option that is neither null nor empty, else empty."""
     return F.coalesce(*[F.nullif(x, F.lit("")) for x in options], F.lit(""))
@@ -47,6 +53,52 @@ def format_ref(jo: Column, sub: Column, hang: Column | None = None, ho: Column |
     return F.concat(*pieces)
 
 
+def ranged_ref(jo: Column, sub: Column, hang: Column, hang_end: Column, ho: Column, mok: Column, end_jo: Column, end_sub: Column) -> Column:
+    """with the ends of paragraph and article ranges: 제27조제1항~제3항."""
+    until = F.when(F.coalesce(hang, F.lit("")) != "", _marked("~제", hang_end, "항")).otherwise("")
+    upto = F.when(F.coalesce(end_jo, F.lit("")) != "", F.concat(F.lit("~"), format_ref(end_jo, end_sub))).otherwise("")
+    return F.concat(format_ref(jo, sub, hang), until, _marked("제", ho, "호"), _marked("제", mok, "목"), upto)
+
+
+def cited_ref(jo: Column, sub: Column, hang: Column, ho: Column, mok: Column, raw: Column) -> Column:
+    """as far as it is known, else the text itself."""
+    known = F.concat(F.when(jo != "", format_ref(jo, sub)).otherwise(""), _marked("제", hang, "항"), _marked("제", ho, "호"), _marked("제", mok, "목"))
+    return first_filled(known, raw)
+
+
+def heading(jo_no: Column, title: Column) -> Column:
+    """``제27조의2(제목)`` of an article number like 27의2."""
+    parsed = parse_article(jo_no)
+    label = F.coalesce(format_ref(parsed["jo"], parsed["sub"]), jo_no)
+    return F.concat(label, _marked("(", stripped(title), ")"))
+
+
+def headed_text(jo_no: Column, title: Column, body: Column) -> Column:
+    """the body, under its heading unless its first line has a reference."""
+    text = stripped(body)
+    has = parse_article(F.substring_index(text, "\n", 1)).isNotNull()
+    return F.when(has, text).otherwise(stripped(F.concat(heading(jo_no, title), F.lit("\n"), text)))
+
+
+def article_stub(ref: Column, text: Column) -> Column:
+    """struct(jo_no, title) from a reference, else from the first line."""
+    line = F.substring_index(text, "\n", 1)
+    parsed = F.coalesce(parse_article(ref), parse_article(line))
+    jo_no = F.coalesce(F.concat(parsed["jo"], _marked("의", parsed["sub"], "")), F.lit(""))
+    return F.struct(jo_no.alias("jo_no"), stripped(F.regexp_extract(line, r"\(([^()]*)\)", 1)).alias("title"))
+
+
+def first_symbol(text: Column) -> Column:
+    """the paragraph mark that a chunk begins with, else empty."""
+    return F.regexp_extract(text, rf"^\s*([{SYMBOLS}])", 1)
+
+
+def amendment_title(law: Column) -> Column:
+    """acts are amended by an act, decrees and rules by a decree."""
+    decree = F.contains(law, F.lit("시행령")) | F.contains(law, F.lit("시행규칙"))
+    return F.concat(law, F.when(decree, " 일부개정령(안)").otherwise(" 일부개정법률(안)"))
+
+
 def normalize_ref(text: Column, law: Column | None = None) -> Column:
     """without the law's name; ``제N의M조`` as ``제N조의M``."""
     bare = F.trim(F.when(text.startswith(law), F.substring(text, F.length(law) + 1, F.length(text))).otherwise(text)) if law is not None else F.trim(text)

@@ -93,8 +93,9 @@ def scrub_html(text: Column) -> Column:
 
 
 def split_inline_paragraph(text: Column) -> Column:
-    """a paragraph mark behind the article's title begins a line."""
-    return F.regexp_replace(text, r"(?m)^(\s*제\d+조(?:의\d+)?[ \t]*[（(][^）)\n]*[）)])[ \t]*([①-⑳])", "$1\n$2")
+    """the first paragraph mark behind an article's number begins a line,
+    where the line does not begin with one."""
+    return F.regexp_replace(text, r"(?m)^(?![ \t]*[①-⑳])(.*?제\d+조(?:의\d+)?[^①-⑳\n]*?)[ \t]*([①-⑳])", "$1\n$2")
 
 
 def lines_before_marks(text: Column) -> Column:
@@ -107,16 +108,6 @@ def visual_width(text: Column) -> Column:
     return F.length(text) + F.length(F.regexp_replace(text, "[^ᄀ-ᇿ⺀-鿿가-힣豈-﫿！-｠]", ""))
 
 
-def dashes(text: Column) -> Column:
-    """at least three dashes, half as many as the text is wide, between
-    its outer blanks; texts of under two characters stay."""
-    inner = F.trim(text)
-    left = F.regexp_extract(text, "^( *)", 1)
-    right = F.regexp_extract(text, "( *)$", 1)
-    count = F.greatest(F.lit(3), F.floor(visual_width(inner) / 2).cast("int"))
-    return F.when(F.length(inner) < 2, text).otherwise(F.concat(left, F.rtrim(F.repeat(F.lit("- "), count)), right))
-
-
 def percent_to_fraction(text: Column) -> Column:
     """``3%`` as ``100분의 3``, whole numbers only, else empty."""
     n = F.regexp_extract(F.trim(text), r"^(\d+)(?:\.0+)?%$", 1)
@@ -130,3 +121,9 @@ def parse_manwon(text: Column) -> Column:
 
 def format_manwon(value: Column) -> Column:
     return F.concat(F.format_number(value, 0), F.lit("만원"))
+
+
+def core_terms(text: Column) -> Column:
+    """The core terms that a text holds, blanks aside, in the table's order."""
+    bare = F.replace(text, F.lit(" "), F.lit(""))
+    return F.filter(strings(V.CORE_TERMS), lambda t: F.contains(bare, t))

@@ -8,13 +8,16 @@ in, one row per citation out.  Single-form queries use the native variant.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lexweave.functions.refs import DIRECT
+from lexweave.functions.refs import DIRECT, cited_ref, format_ref, law_url
 from lexweave.session import attach
 
 _TAIL = r"제(\d+)조(?:의(\d+))?(?:제(\d+)항)?(?:제(\d+)호)?(?:제(\d+)목)?"
@@ -63,8 +66,7 @@ def _fields(form: str, m: re.Match) -> dict | None:
         law = re.sub(r"\s+", "", g[0]) if form == "same_law" else g[0].strip()
         if form == "named" and "같은" in law:
             return None
-        relative = "같은" + law.removeprefix("같은") if form == "same_law" else ""
-        return dict(law_name=law, jo=g[1], jo_sub=g[2], hang=g[3], ho=g[4], mok=g[5], relative="같은법" if relative else "")
+        return dict(law_name=law, jo=g[1], jo_sub=g[2], hang=g[3], ho=g[4], mok=g[5], relative="같은법" if form == "same_law" else "")
     if form == "same_article":
         return dict(hang=g[1], ho=g[2], mok=g[3], relative="같은조")
     if form == "article_range":
@@ -82,21 +84,32 @@ def _fields(form: str, m: re.Match) -> dict | None:
 
 
 class _Claims:
-    """Spans that citations have taken, for exact and containment tests."""
+    """Spans that citations have taken, for exact and containment tests.
 
-    def __init__(self, size: int):
+    Of the spans, those that no other contains are kept, by start: their ends
+    rise too, so a span is contained if the last one that starts at or before
+    it ends at or behind it.
+    """
+
+    def __init__(self):
         self._exact: set[tuple[int, int]] = set()
-        self._furthest = [0] * (size + 1)  # of the spans that start here, the furthest end
+        self._starts: list[int] = []
+        self._ends: list[int] = []
 
     def taken(self, start: int, end: int, exact_only: bool) -> bool:
         if exact_only:
             return (start, end) in self._exact
-        # No form is longer than a few hundred characters on one start.
-        return any(self._furthest[k] >= end for k in range(start, max(-1, start - 400), -1))
+        k = bisect_right(self._starts, start)
+        return k > 0 and self._ends[k - 1] >= end
 
     def add(self, start: int, end: int) -> None:
         self._exact.add((start, end))
-        self._furthest[start] = max(self._furthest[start], end)
+        if self.taken(start, end, False):
+            return
+        first = bisect_left(self._starts, start)
+        last = bisect_right(self._ends, end)
+        self._starts[first : max(first, last)] = [start]
+        self._ends[first : max(first, last)] = [end]
 
 
 def _resolve(found: list[Found], text: str) -> list[Found]:
@@ -119,7 +132,7 @@ def _resolve(found: list[Found], text: str) -> list[Found]:
 def parse(text: str | None) -> list[Found]:
     """All citations of a text, by start."""
     text = text or ""
-    claims, found = _Claims(len(text)), []
+    claims, found = _Claims(), []
     for form, pattern in _COMPILED.items():
         for m in pattern.finditer(text):
             if claims.taken(m.start(), m.end(), form in ("cross", "article_range")):
@@ -138,18 +151,29 @@ def extract(articles: DataFrame, body: str = "body") -> DataFrame:
     kept = [c for c in articles.columns if c != body]
     schema = T.StructType([articles.schema[c] for c in kept] + CITATION.fields)
     names = {"span_start": "start", "span_end": "end"}
-
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            rows = []
-            for row in frame.to_dict("records"):
-                head = [row[c] for c in kept]
-                rows += [head + [getattr(c, names.get(f.name, f.name)) for f in CITATION.fields] for c in parse(row[body])]
-            yield pd.DataFrame(rows, columns=[f.name for f in schema])
-
-    return articles.select(*kept, body).mapInPandas(run, schema)
+    target = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            found = [parse(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            take = pa.array([k for k, citations in enumerate(found) for _ in citations], pa.int64())
+            own = [pa.array([getattr(c, names.get(f.name, f.name)) for citations in found for c in citations], f.type) for f in list(target)[len(kept) :]]
+            yield pa.record_batch([*(x.take(take) for x in batch.columns[:-1]), *own], names=target.names)
+
+    return articles.select(*kept, body).mapInArrow(run, schema)
+
+
+def citation_table(citations: DataFrame, current_law: str) -> DataFrame:
+    """``(id, pos, ref, raw, law, ranged, url)`` of the citations with an
+    article in amended texts ``(id, pos, …CITATION)``: each law and part once, the
+    first; a blank law, or one that begins with 같은, is the current one."""
+    parts = ["law_name", "jo", "jo_sub", "hang", "ho", "mok"]
+    order = Window.partitionBy("id", *parts).orderBy("pos", "raw")
+    first = citations.where("jo <> ''").withColumn("n", F.row_number().over(order)).where("n = 1")
+    law = F.when((F.col("law_name") == "") | F.col("law_name").startswith("같은"), F.lit(current_law)).otherwise(F.col("law_name"))
+    ref = cited_ref(*[F.col(x) for x in parts[1:]], F.col("raw"))
+    url = F.concat(law_url(law), F.lit("/"), format_ref(F.col("jo"), F.col("jo_sub")))
+    return first.select("id", "pos", ref.alias("ref"), "raw", law.alias("law"), F.col("is_range").alias("ranged"), url.alias("url"))
 
 
 def direct_citations(articles: DataFrame, body: str = "body") -> DataFrame:

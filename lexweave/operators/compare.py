@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexweave.functions import fixed_values as V
-from lexweave.functions.refs import SYMBOLS
+from lexweave.functions.refs import SYMBOLS, first_symbol
 from lexweave.session import attach
 
 MARK = f"[{SYMBOLS}]"
@@ -53,6 +54,50 @@ def compress_runs(lines: DataFrame, suffix: str = r"\((?:생략|현행과\s*같
     return each.select("id", "pos", F.when(F.col("first") == "", F.col("line")).otherwise(F.concat(run_label(F.col("first"), F.col("last"), F.col("size")), F.lit(" "), F.col("kind"))).alias("line"))
 
 
+def compress_pairs(pairs: DataFrame) -> DataFrame:
+    """``(id, pos, left, right)`` with each run of adjacent unchanged pairs
+    as one; runs without paragraph marks stay as they are."""
+    same = F.contains("right", F.lit("(현행과같음)")) & ~F.contains("right", F.lit("<u>")) & F.contains("left", F.lit("(생략)")) & ~F.contains("left", F.lit("<del>"))
+    order = Window.partitionBy("id").orderBy("pos")
+    marked = pairs.withColumn("same", same).withColumn("symbol", first_symbol(F.col("left")))
+    apart = ~F.col("same") | ~F.coalesce(F.lag("same").over(order), F.lit(False))
+    islands = marked.withColumn("island", F.sum(F.when(apart, 1).otherwise(0)).over(order))
+    has = F.max(F.when(F.col("symbol") != "", 1).otherwise(0)).over(Window.partitionBy("id", "island"))
+    runs = islands.withColumn("run", F.when(F.col("same") & (has == 1), F.lit(-1)).otherwise(F.col("pos")))
+    # Of a run only the rows with a mark count; rows that stay are groups of their own.
+    at = F.when((F.col("run") != -1) | (F.col("symbol") != ""), F.col("pos"))
+    each = runs.groupBy("id", "island", "run").agg(F.min("pos").alias("pos"), F.count(F.when(F.col("symbol") != "", 1)).alias("size"), F.min_by("symbol", at).alias("first"), F.max_by("symbol", at).alias("last"), F.min_by("left", "pos").alias("left"), F.min_by("right", "pos").alias("right"))
+    label = run_label(F.col("first"), F.col("last"), F.col("size"))
+    word = lambda side, text: F.when(F.col("run") == -1, F.concat(label, F.lit(f" {text}"))).otherwise(F.col(side))
+    return each.select("id", "pos", word("left", "(생략)").alias("left"), word("right", "(현행과같음)").alias("right"))
+
+
+def draft_sections(drafts: DataFrame, names=V.DRAFT_SECTIONS) -> DataFrame:
+    """``(id, <a column for each name>)`` of ``drafts(id, text)``.
+
+    A line ``===SECTION:name===`` opens a section; the last of a name counts,
+    unless it is the draft's last and has no line; unknown names are ignored.
+    A draft without such lines is split at the sections' key words instead,
+    and tags in its instruction become quotation marks.
+    """
+    line = F.trim("line")
+    named = F.regexp_extract(line, "^===SECTION:([가-힣]+)===", 1)
+    has = lambda *words: reduce(lambda a, b: a | b, [F.contains(F.col("line"), F.lit(w)) for w in words])
+    word = F.when(has("개정지시문") | (has("1.") & has("지시문")), "지시문").when(has("[현행]"), "현행").when(has("[개정안]"), "개정안").when(has("부칙") & ~has("적용례", "===", "유형"), "부칙").when(has("연관 항 검토", "연관항 검토"), "연관항").otherwise("")
+    rows = drafts.select("id", F.posexplode(F.split("text", "\r\n|\n")).alias("pos", "line"))
+    whole = Window.partitionBy("id")
+    rows = rows.withColumn("named", named).withColumn("marked", F.max(F.when(named != "", 1).otherwise(0)).over(whole) == 1)
+    rows = rows.withColumn("opens", F.when(F.col("marked"), F.col("named")).otherwise(word))
+    rows = rows.withColumn("part", F.sum(F.when(F.col("opens") != "", 1).otherwise(0)).over(whole.orderBy("pos"))).withColumn("parts", F.max("part").over(whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("opens") == "", F.struct("pos", "line")))), lambda x: x.line), "\n")
+    parts = rows.where("part > 0").groupBy("id", "marked", "part", "parts").agg(F.max("opens").alias("name"), F.count("*").alias("n"), F.regexp_replace(content, r"(?U)^\s+|\s+$", "").alias("text"))
+    last = parts.where("part < parts or n > 1").groupBy("id", "marked", "name").agg(F.max_by("text", "part").alias("text"))
+    quoted = F.regexp_replace("text", "(?s)<(del|u)>(.*?)</\\1>", '"$2"')
+    last = last.withColumn("text", F.when(~F.col("marked") & (F.col("name") == names[0]), quoted).otherwise(F.col("text")))
+    wide = last.groupBy("id").agg(*[F.max(F.when(F.col("name") == x, F.col("text"))).alias(x) for x in names])
+    return drafts.select("id").join(wide, "id", "left").select("id", *[F.coalesce(x, F.lit("")).alias(x) for x in names])
+
+
 def one_per_symbol(chunks: DataFrame) -> DataFrame:
     """A10: each symbol's first block, or its first marked-up one if the first
     has no markup, at the first one's place."""

@@ -27,6 +27,26 @@ def reverse_index(edge_rows: DataFrame) -> DataFrame:
     return edge_rows.select("target_law", F.explode(keys).alias("key"), "source_law", "source_jo", "cite_raw", "target_ref").distinct()
 
 
+def graph_meta(edge_rows: DataFrame) -> DataFrame:
+    """``(edge_count, laws, available)`` of a graph's edges."""
+    laws = F.array_join(F.array_sort(F.collect_set("source_law")), ",")
+    return edge_rows.agg(F.count("*").alias("edge_count"), laws.alias("laws")).withColumn("available", F.col("edge_count") > 0)
+
+
+def ordered_hits(hits: DataFrame) -> DataFrame:
+    """O2: each target's hits numbered by law, then by article number as text."""
+    order = Window.partitionBy("target_law", "target_jo").orderBy("source_law", "source_jo", "pos", "raw")
+    return hits.withColumn("place", F.row_number().over(order))
+
+
+def reverse_hits(edge_rows: DataFrame, probes: DataFrame) -> DataFrame:
+    """J3 without an index: only edges of the probes' laws and articles are
+    exploded to their keys, so that work follows the probes."""
+    parts = [F.col(x) for x in ("jo", "jo_sub", "hang", "ho")]
+    near = edge_rows.join(probes.select("target_law", "jo").distinct(), ["target_law", "jo"], "left_semi")
+    return reverse_lookup(near.select("target_law", F.explode(lookup_keys(*parts)).alias("key"), "source_law", "source_jo", "cite_raw", "target_ref").distinct(), probes)
+
+
 def reverse_lookup(index: DataFrame, probes: DataFrame) -> DataFrame:
     """Citing articles of ``probes(target_law, jo, jo_sub, hang, ho)``, one
     row per source article, found under the most specific key."""

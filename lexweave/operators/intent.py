@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.refs import SYMBOLS, first_filled, symbol_of
 from lexweave.functions.terms import format_manwon, parse_manwon, percent_to_fraction
-from lexweave.operators.compare import MARK, blocks, lines_of
+from lexweave.operators.compare import blocks, lines_of
 
 _NUMBER = r"[0-9,]+(?:\.\d+)?%?|[0-9,]+만원|[0-9,]+원"
 # How an outline states an old and a new wording.
@@ -17,7 +17,14 @@ PAIRS = (
     r"([0-9,]+만원)\s*에서\s*([0-9,]+만원)\s*(?:으로|로)",
     r"현행\s*['\"]?([^'\"\s]+?)['\"]?에서\s*['\"]?([^'\"\s]+?)['\"]?(?:으로|로)",
 )
+# Verbs of a rise, an amount that rises, items and subitems.
 RAISES = "상향|인상|올리|증액|확대|높이|늘리"
+RISE = r"([0-9,]+)\s*[→\-]\s*([0-9,]+)\s*만원"
+ITEMS = (
+    r"제\d+항제(\d+)호(?:제?([가-힣])\.?\s*목)?",
+    r"제(\d+)호(?:제?([가-힣])\.?\s*목)?",
+    r"(?<!\d)(\d+)호(?:\s*([가-힣])\.?\s*목)?",
+)
 
 
 def target_paragraphs(outline: Column) -> Column:
@@ -29,11 +36,9 @@ def target_paragraphs(outline: Column) -> Column:
 
 def target_item(outline: Column) -> tuple[Column, Column]:
     """(item, subitem)."""
-    tail = r"(?:제?([가-힣])\.?\s*목)?"
-    forms = [r"제\d+항제(\d+)호" + tail, r"제(\d+)호" + tail, r"(?<!\d)(\d+)호(?:\s*([가-힣])\.?\s*목)?"]
-    ho = first_filled(*[F.regexp_extract(outline, f, 1) for f in forms])
+    ho = first_filled(*[F.regexp_extract(outline, f, 1) for f in ITEMS])
     mok = F.lit("")
-    for form in reversed(forms):
+    for form in reversed(ITEMS):
         mok = F.when(F.regexp_extract(outline, form, 1) != "", F.regexp_extract(outline, form, 2)).otherwise(mok)
     return ho, mok
 
@@ -58,41 +63,64 @@ def resolved_pair(pair: Column, body: Column) -> Column:
     return F.when(same, F.struct(old.alias("old"), new_same.alias("new"))).when(swapped, F.struct(f_old.alias("old"), F.when(f_new != "", f_new).otherwise(new).alias("new"))).otherwise(pair)
 
 
+def paragraph_block(body: Column, symbol: Column) -> Column:
+    """The text from the paragraph's mark to the next other mark that
+    begins a line; a line that repeats the mark goes on with the block."""
+    after = F.try_element_at(F.split(body, F.concat(F.lit(r"(?m)^[ \t]*"), symbol), 2), F.lit(2))
+    return F.try_element_at(F.split(after, F.concat(F.lit(rf"(?m)^[ \t]*[{SYMBOLS}&&[^"), symbol, F.lit("]]")), 2), F.lit(1))
+
+
 def parse_intent(outlines: DataFrame) -> DataFrame:
     """``(id, hangs, ho, mok, old_text, new_text, source)`` of
-    ``outlines(id, outline, body)``: stated pair, else a raised amount."""
+    ``outlines(id, outline, body)``: stated pair, else a raised amount, which
+    holds for the first paragraph alone."""
     outline, body = F.col("outline"), F.col("body")
     ho, mok = target_item(outline)
-    hangs = target_paragraphs(outline)
     pair = resolved_pair(stated_pair(outline), body)
-    rows = outlines.select("id", "outline", "body", hangs.alias("hangs"), ho.alias("ho"), mok.alias("mok"), F.when(F.contains(body, pair["old"]), pair).alias("pair"))
-    arrow = F.regexp_extract(outline, r"([0-9,]+)\s*[→\-]\s*([0-9,]+)\s*만원", 2)
+    found = F.contains(body, pair["old"]) | (body == "")
+    rows = outlines.select("id", "outline", "body", target_paragraphs(outline).alias("hangs"), ho.alias("ho"), mok.alias("mok"), F.when(found, pair).alias("pair"))
+    arrow = F.regexp_extract(outline, RISE, 2)
     amount = F.when(arrow != "", F.replace(arrow, F.lit(","), F.lit("")).try_cast("long")).when(F.contains(F.replace(outline, F.lit(" "), F.lit("")), F.lit("천만원")), F.lit(1000).cast("long"))
-    first = F.try_element_at("hangs", F.lit(1))
-    opened = F.concat(F.lit(r"(?m)^[ \t]*"), symbol_of(first))
-    after = F.try_element_at(F.split(body, opened), F.lit(2))
-    block = F.try_element_at(F.split(after, rf"(?m)^[ \t]*{MARK}"), F.lit(1))
+    symbol = symbol_of(F.try_element_at("hangs", F.lit(1)))
+    block = F.when(symbol != "", paragraph_block(body, symbol))
     offers = F.filter(F.regexp_extract_all(block, F.lit("[0-9,]+만원"), F.lit(0)), lambda x: parse_manwon(x) != amount)
-    guess = F.when(outline.rlike(RAISES) & amount.isNotNull() & first.isNotNull() & (symbol_of(first) != ""), F.struct(F.try_element_at(offers, F.lit(1)).alias("old"), format_manwon(amount).alias("new")))
+    guess = F.when(outline.rlike(RAISES) & (amount > 0), F.struct(F.try_element_at(offers, F.lit(1)).alias("old"), format_manwon(amount).alias("new")))
     rows = rows.withColumn("guess", F.when(guess["old"].isNotNull(), guess))
     source = F.when(F.col("pair").isNotNull(), "regex").when(F.col("guess").isNotNull(), "heuristic").otherwise("none")
+    hangs = F.when(source == "heuristic", F.slice("hangs", 1, 1)).otherwise(F.col("hangs"))
     chosen = F.coalesce("pair", "guess")
-    return rows.select("id", "hangs", "ho", "mok", chosen["old"].alias("old_text"), chosen["new"].alias("new_text"), source.alias("source"))
+    return rows.select("id", hangs.alias("hangs"), "ho", "mok", chosen["old"].alias("old_text"), chosen["new"].alias("new_text"), source.alias("source"))
+
+
+def amendment_level(ho: Column, mok: Column) -> Column:
+    """The smallest part that an intent names: subitem, item or paragraph."""
+    return F.when(mok != "", "mok").when(ho != "", "ho").otherwise("hang")
+
+
+def scaled_manwon(amount: Column, ratio: Column) -> Column:
+    """an amount times a ratio, with a decimal unless it is whole."""
+    value = amount * ratio
+    whole = F.abs(value - F.round(value)) < 0.000001
+    return F.concat(F.when(whole, F.format_number(F.round(value), 0)).otherwise(F.format_number(value, 1)), F.lit("만원"))
 
 
 def related_amounts(articles: DataFrame, changes: DataFrame) -> DataFrame:
-    """Amounts of other paragraphs that follow a change of one.
+    """``(id, symbol, amount, proposal, kind)``: what a paragraph's change
+    asks of the article's other paragraphs.
 
-    ``articles(id, text)``, ``changes(id, hang, old_text, new_text)``.  The same
-    value is a suggestion in a paragraph that cites the changed one, else to
-    review; other amounts there are scaled by the change's ratio.
+    ``articles(id, text)``, ``changes(id, hang, old_text, new_text)``.  A
+    paragraph that holds the old wording is a suggestion if it cites the changed
+    one, else to review.  Where it cites it and both wordings are amounts, the
+    amounts behind the old one (all, if it is not there) follow in proportion.
     """
     each = blocks(lines_of(articles)).where("symbol <> ''").join(changes, "id").where(F.col("symbol") != symbol_of(F.col("hang")))
     cites = F.contains(F.col("text"), F.concat(F.lit("제"), "hang", F.lit("항")))
-    found = each.withColumn("cites", cites).select("id", "symbol", "cites", "old_text", "new_text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9,]+만원"), F.lit(0)))).alias("amount"))
-    old, new, value = parse_manwon(F.col("old_text")), parse_manwon(F.col("new_text")), parse_manwon(F.col("amount"))
-    scaled = value * new / old
-    text = F.when(scaled == F.floor(scaled), F.format_number(scaled, 0)).otherwise(F.format_number(scaled, 1))
-    kind = F.when((value == old) & F.col("cites"), "suggest").when(value == old, "review").when(F.col("cites"), "proportional")
-    rows = found.select("id", "symbol", "amount", F.when(value == old, F.col("new_text")).otherwise(F.concat(text, F.lit("만원"))).alias("proposal"), kind.alias("kind"))
-    return rows.where("kind is not null and proposal <> amount")
+    at = F.instr(F.col("text"), F.col("old_text"))
+    old, new = parse_manwon(F.col("old_text")), parse_manwon(F.col("new_text"))
+    scope = F.when(at > 0, F.substring("text", at + F.length("old_text"), F.length("text"))).otherwise(F.col("text"))
+    rows = each.select("id", "symbol", "old_text", "new_text", cites.alias("cites"), (at > 0).alias("same"), F.when((old > 0) & (new > 0), new / old).alias("ratio"), scope.alias("scope"))
+    stated = rows.where("same").select("id", "symbol", F.col("old_text").alias("amount"), F.col("new_text").alias("proposal"), F.when(F.col("cites"), "suggest").otherwise("review").alias("kind"))
+    amounts = rows.where("cites and ratio is not null").select("id", "symbol", "old_text", "ratio", F.explode(F.array_distinct(F.regexp_extract_all("scope", F.lit("[0-9,]+만원"), F.lit(0)))).alias("amount"))
+    value = parse_manwon(F.col("amount"))
+    scaled = amounts.where((value > 0) & (F.col("amount") != F.col("old_text"))).select("id", "symbol", "amount", scaled_manwon(value, F.col("ratio")).alias("proposal"), F.lit("proportional").alias("kind"))
+    return stated.unionByName(scaled.where("proposal <> amount"))

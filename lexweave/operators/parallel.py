@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import fixed_values as V
-from lexweave.functions.refs import lookup_keys
-from lexweave.functions.terms import article_title, canonical_text, generic_terms, text_variants, topic_terms
+from lexweave.functions.refs import format_ref, lookup_keys, parse_article, ref_of_text
+from lexweave.functions.terms import article_title, canonical_text, core_terms, generic_terms, text_variants, topic_terms
 
 
 def rule_table(spark: SparkSession, rows=V.PARALLEL_RULES) -> DataFrame:
@@ -143,6 +143,75 @@ def frequent_terms(articles: DataFrame, pattern: str = "[가-힣]{4,}", least: i
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def extract_keywords(articles: DataFrame) -> DataFrame:
+    """``(id, keywords)`` of ``articles(id, text)``: the title's words if
+    two or more are not generic, else core terms, these and the body's commonest."""
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    line = F.substring_index(text, "\n", 1)
+    inside = F.regexp_extract(line, "[（(]([^）)]{2,})[）)]", 1)
+    title = F.regexp_extract_all(F.when(inside != "", inside).otherwise(line), F.lit("[가-힣]{3,}"), F.lit(0))
+    rows = articles.select("id", text.alias("text"), title.alias("title"), F.filter(title, lambda w: ~F.array_contains(generic_terms(), w)).alias("own"), core_terms(text).alias("core"))
+    body = rows.where(F.size("own") < 2).select("id", F.when(F.instr("text", "\n") > 0, F.expr("substring(text, instr(text, '\n') + 1)")).otherwise("").alias("body"))
+    common = frequent_terms(body).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x.word).alias("common"))
+    none = F.array().cast("array<string>")
+    both = rows.join(common, "id", "left").withColumn("both", F.array_distinct(F.concat("core", "own", F.coalesce("common", none))))
+    return both.select("id", F.when(F.size("own") >= 2, F.col("own")).when(F.size("both") > 0, F.col("both")).otherwise(F.col("title")).alias("keywords"))
+
+
+def resolve_entries(wanted: DataFrame, results: DataFrame) -> DataFrame:
+    """``(seq, wanted, name, mst)``: each wanted name's search result of that
+    very name, else its first; of results that repeat, the first wanted keeps it.
+
+    ``wanted(seq, wanted)``, ``results(wanted, pos, name, mst)``.
+    """
+    order = Window.partitionBy("wanted").orderBy(F.when(F.col("name") == F.col("wanted"), 0).otherwise(1), "pos")
+    chosen = results.withColumn("n", F.row_number().over(order)).where("n = 1").select("wanted", "name", "mst")
+    key = F.coalesce(F.nullif("mst", F.lit("")), "name")
+    found = wanted.join(chosen, "wanted").withColumn("key", key).where("key <> ''")
+    return found.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("seq"))).where("n = 1").select("seq", "wanted", "name", "mst")
+
+
+#: The pair of laws whose articles are compared by title and terms.
+TAX_PAIR = ("법인세법", "소득세법")
+
+
+def parallel_cascade(sources: DataFrame, scope: DataFrame, articles: DataFrame, rules: DataFrame, cited: DataFrame | None = None, judge=None) -> DataFrame:
+    """M3: ``(id, parallel_law, article, reason, stage)``: the parallel provision
+    of each source in each law of its scope.
+
+    ``sources(id, law, text)``, ``scope(law, parallel)``, ``articles(law, jo_no,
+    ordinal, title, body)``.  The first hint whose article exists decides, else
+    the most similar title and terms of the tax pair, else ``judge``: a function
+    of what is left, ``(id, law, parallel_law, text)``, that gives the same
+    columns; without one there is no match.  What it names must exist.
+    """
+    asked = sources.join(scope.select("law", F.col("parallel").alias("parallel_law")).distinct(), "law").where("law <> parallel_law")
+    ref = ref_of_text(F.col("text"))
+    parts = asked.select("id", F.col("law").alias("source_law"), "parallel_law", *[ref[x].alias(x) for x in ("jo", "sub", "hang", "ho")]).withColumnRenamed("sub", "jo_sub").where("jo is not null")
+    keyed = parts.withColumn("id", F.struct("id", "parallel_law"))
+    hints = rule_hints(keyed, rules, cited).select(F.col("id.id").alias("id"), F.col("id.parallel_law").alias("parallel_law"), "source_rank", "key_rank", "seq", "article", "reason")
+    number = parse_article(F.col("article"))
+    jo_no = F.concat(number["jo"], F.when(number["sub"] != "", F.concat(F.lit("의"), number["sub"])).otherwise(""))
+    known = articles.select(F.col("law").alias("parallel_law"), "jo_no").distinct()
+    order = Window.partitionBy("id", "parallel_law").orderBy("source_rank", "key_rank", "seq")
+    first = hints.withColumn("jo_no", jo_no).join(known, ["parallel_law", "jo_no"], "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1")
+    reason = F.when(F.col("source_rank") == 1, F.concat(F.lit("[명시 인용] "), "reason")).otherwise(F.col("reason"))
+    out = first.select("id", "parallel_law", "article", reason.alias("reason"), F.lit("hint").alias("stage"))
+    left = asked.join(out, ["id", "parallel_law"], "left_anti")
+    for law, other in (TAX_PAIR, TAX_PAIR[::-1]):
+        texts = articles.where(F.col("law") == other)
+        numbered = texts.select("ordinal", F.concat_ws("\n", F.concat(F.lit("("), "title", F.lit(")")), "body").alias("text"))
+        best = similar_titles(left.where((F.col("law") == law) & (F.col("parallel_law") == other)).select("id", "text"), numbered)
+        named = best.join(texts.groupBy("ordinal").agg(F.min("jo_no").alias("jo_no")), "ordinal")
+        at = parse_article(F.col("jo_no"))
+        why = f"{law}과 {other} 사이의 조문 제목·핵심 표현이 코드 매칭 기준으로 동일 취지입니다."
+        out = out.unionByName(named.select("id", F.lit(other).alias("parallel_law"), format_ref(at["jo"], at["sub"]).alias("article"), F.lit(why).alias("reason"), F.lit("similar").alias("stage")))
+    if judge is not None:
+        judged = judge(asked.join(out, ["id", "parallel_law"], "left_anti")).withColumn("jo_no", jo_no).join(known, ["parallel_law", "jo_no"], "left_semi")
+        out = out.unionByName(judged.select("id", "parallel_law", "article", "reason", F.lit("judge").alias("stage")))
+    return out
+
+
 def resolve_names(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
     """Each wanted name's catalog entry: exact without blanks, else one
     whose name contains it, else none."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import fixed_values as V
 from lexweave.functions import refs, terms
-from lexweave.operators import citations, compare, freshness, graph, intent, links, parallel, precedents, review
+from lexweave.operators import citations, compare, freshness, graph, links, parallel, precedents, review
 from lexweave.plans.corpus import ARTICLES_SQL, PARTS_SQL, articles, cited_parts, table
 from lexweave.sources import sinks
 
@@ -130,7 +130,7 @@ select target_law, key, source_law, source_jo, cite_raw, target_ref, cast(rank a
 def graph_reverse_lookup(spark, sf_dir):
     """J3, A3."""
     probes = _rows(spark, _PROBES, "target_law string, jo string, jo_sub string, hang string, ho string")
-    return graph.reverse_lookup(graph.reverse_index(_edges(spark, sf_dir)), probes)
+    return graph.reverse_hits(_edges(spark, sf_dir), probes)
 
 
 _ADJACENT_SQL = "adj as (select law, unnest(parallels) as parallel, unnest(range(0, len(parallels))) as seq from " + _values(V.PARALLEL_LAWS, "law, parallels") + ")"
@@ -226,25 +226,13 @@ canon as (select ordinal, {_TITLE_SQL} as title, {_CANON_SQL.replace("{x}", "tex
 d as (select ordinal, title, list_filter({_TERM_SQL}, lambda t: contains(whole, t)) as terms from canon)"""
 
 
-@_query(f"""with {_TITLED_SQL}, s as (select ordinal as id, title, terms from d where ordinal % 50 = 0),
-p as (select s.id, d.ordinal, case when s.title <> '' and s.title = d.title then 8 when length(s.title) >= 6 and d.title <> '' and (contains(d.title, s.title) or contains(s.title, d.title)) then 6 else 0 end
-  + 2 * len(list_intersect(s.terms, d.terms)) + case when list_contains(list_intersect(s.terms, d.terms), '업무용승용차') then 4 else 0 end
-  + case when list_contains(list_intersect(s.terms, d.terms), '업무용승용차') and list_contains(list_intersect(s.terms, d.terms), '필요경비불산입') then 4 else 0 end as score from s join d on d.ordinal % 50 <> 0),
-r as (select *, row_number() over (partition by id order by score desc, ordinal) as n from p where score >= 8)
-select id, ordinal, cast(score as integer) as score from r where n = 1""")
-def title_similarity_top1(spark, sf_dir):
-    """Every fiftieth part's article is a source."""
-    rows = _titled(spark, sf_dir)
-    return parallel.similar_titles(rows.where("ordinal % 50 = 0").withColumnRenamed("ordinal", "id"), rows.where("ordinal % 50 <> 0"))
-
-
 @_query(f"""with {_TITLED_SQL},
 p as (select s.ordinal as id, d.ordinal, case when s.title <> '' and s.title = d.title then 8 when length(s.title) >= 6 and d.title <> '' and (contains(d.title, s.title) or contains(s.title, d.title)) then 6 else 0 end
   + 2 * len(list_intersect(s.terms, d.terms)) + case when list_contains(list_intersect(s.terms, d.terms), '업무용승용차') then 4 else 0 end
   + case when list_contains(list_intersect(s.terms, d.terms), '업무용승용차') and list_contains(list_intersect(s.terms, d.terms), '필요경비불산입') then 4 else 0 end as score from d s join d on d.ordinal <> s.ordinal),
 r as (select id, arg_min({{'ordinal': ordinal, 'score': score}}, {{'worse': -score, 'ordinal': ordinal}}) as best from p where score >= 8 group by id)
 select id, best.ordinal as ordinal, cast(best.score as integer) as score from r""")
-def title_similarity_all(spark, sf_dir):
+def title_similarity_top1(spark, sf_dir):
     """Every part's article against all others."""
     rows = _titled(spark, sf_dir)
     return parallel.similar_titles(rows.withColumnRenamed("ordinal", "id"), rows, same=True)
@@ -294,7 +282,7 @@ def keyword_topic_links(spark, sf_dir):
 
 @_query()
 def link_records_summary(spark, sf_dir):
-    """The Markdown summary of the link records."""
+    """The Markdown summary of the link records."""
     rows = articles(spark, sf_dir).select("jo_no", "ordinal", F.lit("감면").alias("title"))
     return sinks.markdown_summary(links.link_records(rows, _link_rows(spark, sf_dir)))
 
@@ -350,14 +338,14 @@ _LINES_SQL = f"""lines as (select user_id as id, event_id as pos, substr('{refs.
 g as (select id, island, min(pos) as pos, count(*) as n, arg_min(sym, pos) as first, arg_max(sym, pos) as last, bool_or(changed) as changed from i group by 1, 2)
 select id, pos, case when changed then first || ' 본문' else case n when 1 then first when 2 then first || '·' || last else first || '~' || last end || ' (생략)' end as line from g""")
 def run_compression(spark, sf_dir):
-    """W1, W2."""
+    """W1."""
     return compare.compress_runs(_event_lines(spark, sf_dir))
 
 
 @_query(f"""with {_LINES_SQL}, b as (select *, sum(case when changed then 1 else 0 end) over (partition by id order by pos) as block from lines)
 select id, cast(block as bigint) as block, max(case when changed then sym else '' end) as symbol, string_agg(case when changed then sym || ' 본문' else '(' || sym || ')' end, chr(10) order by pos) as text from b group by 1, 2""")
 def block_split(spark, sf_dir):
-    """W3-W5."""
+    """W3."""
     rows = _event_lines(spark, sf_dir)
     mark = F.substring("line", 1, 1)
     return compare.blocks(rows.withColumn("line", F.when(F.col("pos") % 3 == 0, F.col("line")).otherwise(F.concat(F.lit("("), mark, F.lit(")")))))
@@ -437,22 +425,3 @@ def relation_types(spark, sf_dir):
     reason = F.when(F.contains(text, F.lit("entre")), "세율 개정").when(F.contains(text, F.lit("thing")), "범위 확대").otherwise("기타")
     kind = terms.relation_type(F.lit("소득세법"), F.lit("제1조"), reason, F.lit(""))
     return table(spark, sf_dir, "documents").select("doc_id", kind.alias("relation_type"), terms.relation_label(kind).alias("label"))
-
-
-@_query()
-def outline_intents(spark, sf_dir):
-    """F32-F35."""
-    k = F.col("doc_id")
-    body = F.lit("제27조의2(한도)\n① 일반\n③ 한도는 800만원으로 한다.\n④ 제3항의 800만원 중 400만원")
-    outline = F.element_at(F.array(F.lit("제3항 800만원을 1,000만원으로 상향한다."), F.lit("③ 한도 천만원으로 올리자"), F.lit("제3항 한도금액 인상 (800→1000만원)"), F.lit("없음")), (k % 4 + 1).cast("int"))
-    return intent.parse_intent(table(spark, sf_dir, "documents").select(k.alias("id"), outline.alias("outline"), body.alias("body")))
-
-
-@_query()
-def related_amounts(spark, sf_dir):
-    """G6, F34."""
-    k = F.col("doc_id")
-    text = F.concat(F.lit("제27조의2(한도)\n③ 한도는 800만원으로 한다.\n④ 제3항의 800만원 중 400만원\n⑤ 800만원"), F.lit(""))
-    rows = table(spark, sf_dir, "documents").select(k.alias("id"), text.alias("text"))
-    changes = rows.select("id", F.lit("3").alias("hang"), F.lit("800만원").alias("old_text"), F.lit("1,000만원").alias("new_text"))
-    return intent.related_amounts(rows, changes)

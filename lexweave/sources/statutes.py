@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexweave.functions.refs import parse_article
 from lexweave.functions.terms import scrub_html
 
 _SUBITEM = "array<struct<`목내용`: string>>"
@@ -31,6 +32,33 @@ def article(articles: DataFrame, jo_no: str) -> DataFrame:
     return articles.where(F.col("jo_no") == jo_no).orderBy("ordinal").limit(1)
 
 
+def article_of_ref(articles: DataFrame, refs: DataFrame) -> DataFrame:
+    """``(id, law, jo_no, title, body)``: the first article of the law
+    with the number of the first reference in ``refs(id, law, text)``."""
+    parsed = parse_article(F.col("text"))
+    number = F.concat(parsed["jo"], F.when(parsed["sub"] != "", F.concat(F.lit("의"), parsed["sub"])).otherwise(""))
+    found = refs.select("id", "law", number.alias("jo_no")).where("jo_no is not null").join(articles, ["law", "jo_no"])
+    order = Window.partitionBy("id").orderBy("ordinal")
+    return found.withColumn("n", F.row_number().over(order)).where("n = 1").select("id", "law", "jo_no", "title", "body")
+
+
+def articles_of_law(articles: DataFrame, results: DataFrame, law: str) -> DataFrame:
+    """The articles of the search result of that name, else of the first of
+    ``results(pos, name)``."""
+    order = Window.partitionBy("all").orderBy(F.when(F.col("name") == law, 0).otherwise(1), "pos")
+    chosen = results.withColumn("all", F.lit(0)).withColumn("n", F.row_number().over(order)).where("n = 1").select(F.col("name").alias("law"))
+    return articles.join(chosen, "law", "left_semi")
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """``(name, mst, kind)`` of a search response: one law or a list."""
+    rows = _json(spark, path, "LawSearch struct<law:string>")
+    law = "array<struct<`법령명한글`:string,`법령일련번호`:string,`법령구분명`:string>>"
+    text = F.col("LawSearch.law")
+    listed = F.from_json(F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), law)
+    return rows.select(F.inline(listed)).toDF("name", "mst", "kind")
+
+
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A multi-line JSON file; a missing path is empty."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lexweave.plans import catalog
+from lexweave.plans import catalog, provisions
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,5 +39,6 @@ def test_runs(spark, name):
 
 
 def test_contract(spark):
+    assert provisions.QUERIES is catalog.QUERIES
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns
