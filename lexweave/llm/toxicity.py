@@ -162,26 +162,28 @@ class Lexicon:
         return self.terms[found[0]] * 0.8 ** found[1], found[1]
 
 
-def induce_lexicon(texts: list[str], labels: list[int], least: int = 4, ratio: float = 12.0) -> Lexicon:
-    """Words and stems that mark toxic texts by document frequency.
+def induce_lexicon(texts: list[set[str]], labels: list[int], least: int = 4, ratio: float = 12.0) -> Lexicon:
+    """Words and stems that mark toxic texts, given as their sets of words, by
+    document frequency.
 
     A stem stands for the words that begin with it if most of them are marks;
     clean words in reach of the automaton are listed so as to spare them.
     """
     toxic, clean, n = Counter(), Counter(), [labels.count(0), labels.count(1)]
     stems, floor = (Counter(), Counter()), max(least, 0.01 * n[1])
-    for text, label in zip(texts, labels, strict=True):
+    for words, label in zip(texts, labels, strict=True):
         if label:
-            words = set(tokens_of(text))
             toxic.update(words)
             stems[1].update({word[:k] for word in words for k in range(5, len(word) + 1)})
+        else:
+            clean.update(words)
     stems = ({}, Counter({stem: count for stem, count in stems[1].items() if count >= floor}))
+    # A clean word's stems are looked up once, whatever the number of its texts.
+    held = {word: found for word in clean if (found := [word[:k] for k in range(5, len(word) + 1) if word[:k] in stems[1]])}
     near = Counter()
-    for text, label in zip(texts, labels, strict=True):
+    for words, label in zip(texts, labels, strict=True):
         if not label:
-            words = set(tokens_of(text))
-            clean.update(words)
-            near.update({word[:k] for word in words for k in range(5, len(word) + 1) if word[:k] in stems[1]})
+            near.update({stem for word in words if word in held for stem in held[word]})
     stems = (near, stems[1])
     odds = lambda a, b: ((a + 0.1) / (n[1] + 0.2)) / ((b + 0.5) / (n[0] + 1))
     terms = {term: 1.0 for term in SEED_TERMS}
@@ -294,10 +296,10 @@ class ToxicityModel:
             beta = np.zeros(FEATURES)
             beta[:3] = (-3.0, 3.0, 1.0)
             return cls(Lexicon({term: 1.0 for term in SEED_TERMS}), beta)
-        rows = np.zeros((len(texts), FEATURES))
+        rows, words = np.zeros((len(texts), FEATURES)), [set(tokens_of(text)) for text in texts]
         for part in (0, 1):
             learn = [k for k in range(len(texts)) if k % 2 != part]
-            counts = Counts(induce_lexicon([texts[k] for k in learn], [labels[k] for k in learn]))
+            counts = Counts(induce_lexicon([words[k] for k in learn], [labels[k] for k in learn]))
             ours = [k for k in range(len(texts)) if k % 2 == part]
             found = [counts.rows(data, offs) for _, _, data, offs in chunks(pa.array([texts[k].lower() for k in ours], pa.large_string()))]
             rows[ours] = np.concatenate(found) if found else rows[ours]
@@ -306,7 +308,7 @@ class ToxicityModel:
             drawn[label] += count
         weights = np.array([count * sizes[x] / drawn[x] for x, count in zip(labels, copies or [1] * len(labels), strict=True)])
         beta = _logistic(rows, labels_of, weights / weights.mean())
-        return cls(induce_lexicon(texts, labels), beta)
+        return cls(induce_lexicon(words, labels), beta)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> ToxicityModel:

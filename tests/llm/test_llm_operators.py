@@ -627,15 +627,16 @@ def test_toxicity_against_plain_counts(spark):
     texts = ["you idiot", "idio", "the man said \"idiot\" today", "an idi0t, vermin and scvm", "idyot", "", None, "plain words only", "far " * 30 + "idiot " + "far " * 30]
     kinds = {0: "aimed", 2: "quoted"}
     frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, "you idiot"), (0, "you idiot")], "doc_id long, text string")
-    found = toxicity.score_toxicity(frame, model).collect()
+    rows = toxicity.score_toxicity(frame, model).collect()
+    found = {r.id: r.score for r in rows}
     for k, t in enumerate(texts):
         tokens = [x.strip("\",") for x in (t or "").split()]
         total = sum(map(weight, tokens))
         direct, quoted = (0.0, total) if kinds.get(k) == "quoted" else (total, 0.0)
         aimed = total if kinds.get(k) == "aimed" else 0.0
         row = [1, min(direct, 1), np.log1p(direct), np.log1p(100 * direct / max(len(tokens), 1)), np.log1p(quoted) * (direct == 0), np.log1p(aimed)]
-        assert found[k].score == pytest.approx(1 / (1 + np.exp(-np.dot(row, model.beta))))
-    assert found[-1].score == found[-2].score == found[0].score and found[-2].id is None
+        assert found[k] == pytest.approx(1 / (1 + np.exp(-np.dot(row, model.beta))))
+    assert found[None] == found[0] and len(rows) == len(texts) + 2 and [r.score for r in rows if r.id == 0] == [found[0]] * 2
 
 
 def test_samples_are_bounded(spark):
