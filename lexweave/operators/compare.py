@@ -130,16 +130,12 @@ def runs_of(text: Column) -> Column:
     return F.transform(pieces, lambda p: F.struct(kind(p).alias("kind"), F.regexp_replace(p, "</?(del|u)>", "").alias("text")))
 
 
-def omit_unchanged(text: Column) -> Column:
-    """F38, old side: a paragraph without markup becomes ``① (생략)``."""
-    symbol = F.regexp_extract(text, rf"^\s*({MARK})", 1)
-    return F.when((symbol != "") & ~text.rlike("<(u|del)>"), F.concat(symbol, F.lit(" (생략)"))).otherwise(text)
-
-
 _WIDE = re.compile("[ᄀ-ᇿ⺀-鿿가-힣豈-﫿！-｠]")
 
 
-def _dashes(text: str) -> str:
+def dashes(text: str) -> str:
+    """at least three dashes, half as many as the text is wide, between its
+    outer blanks; texts of under two characters stay."""
     inner = text.strip()
     if len(inner) < 2:
         return text
@@ -162,7 +158,7 @@ def mask_line(line: str) -> str:
             keep_left, rest = m.group(0), rest[m.end() :]
         if k + 1 < len(tokens) and (m := re.search(r"\S+$", rest)):
             keep_right, rest = m.group(0), rest[: m.start()]
-        tokens[k] = keep_left + (_dashes(rest) if rest else "") + keep_right
+        tokens[k] = keep_left + (dashes(rest) if rest else "") + keep_right
     return "".join(tokens)
 
 
@@ -176,11 +172,31 @@ def mask_lines(text: Column | str) -> Column:
     return F.pandas_udf(_mask_texts, T.StringType())(text)
 
 
-def apply_changes(old_blocks: DataFrame, changes: DataFrame) -> DataFrame:
-    """blocks with each symbol's ordered ``changes(id, symbol, seq,
-    old_text, new_text)`` marked; blocks without a change are omitted ones."""
+def apply_changes(texts: DataFrame, changes: DataFrame, originals: DataFrame, struck: bool = False) -> DataFrame:
+    """Blocks ``(id, block, symbol, text)`` with the accepted
+    ``changes(id, symbol, seq, old_text, new_text)``, each symbol's in order.
+
+    In an amended text new wordings are marked, in a paragraph that only says
+    that it is unchanged those of the original; with ``struck``, old wordings
+    of the original are struck out.  Paragraphs that the text lacks follow it.
+    """
     lists = changes.groupBy("id", "symbol").agg(F.array_sort(F.collect_list(F.struct("seq", "old_text", "new_text"))).alias("edits"))
-    joined = old_blocks.join(lists, ["id", "symbol"], "left")
-    marked = F.aggregate("edits", F.col("text"), lambda acc, e: F.replace(acc, e.old_text, F.concat(F.lit("<u>"), e.new_text, F.lit("</u>"))))
-    same = F.when(F.col("symbol") != "", F.concat("symbol", F.lit(" (현행과 같음)"))).otherwise(F.col("text"))
-    return joined.select("id", "block", "symbol", F.when(F.col("edits").isNull(), same).otherwise(marked).alias("text"))
+    own = originals.where("symbol <> ''").groupBy("id", "symbol").agg(F.max_by("text", "block").alias("original"))
+    marked = lambda e: F.concat(F.lit("<del>"), e.old_text, F.lit("</del>")) if struck else F.concat(F.lit("<u>"), e.new_text, F.lit("</u>"))
+    edited = lambda base: F.aggregate("edits", base, lambda acc, e: F.replace(acc, e.old_text, marked(e)))
+    joined = texts.join(lists, ["id", "symbol"], "left").join(own, ["id", "symbol"], "left")
+    taken = F.lit(True) if struck else F.contains("text", F.lit("(현행과같음)"))
+    base = F.when(taken, F.coalesce("original", "text")).otherwise(F.col("text"))
+    kept = joined.select("id", "block", "symbol", F.when(F.col("edits").isNull(), F.col("text")).otherwise(edited(base)).alias("text"))
+    lacking = lists.join(texts.select("id", "symbol"), ["id", "symbol"], "left_anti").join(own, ["id", "symbol"])
+    last = texts.groupBy("id").agg(F.max("block").alias("last"))
+    order = Window.partitionBy("id").orderBy(F.col("edits")[0].seq, "symbol")
+    added = lacking.join(last, "id").withColumn("block", F.col("last") + F.row_number().over(order))
+    return kept.unionByName(added.select("id", F.col("block").cast(texts.schema["block"].dataType).alias("block"), "symbol", edited(F.col("original")).alias("text")))
+
+
+def apply_overrides(texts: DataFrame, unchecked: DataFrame) -> DataFrame:
+    """blocks of the ``unchecked(id, symbol)`` paragraphs are unchanged ones."""
+    marked = unchecked.where("symbol <> ''").select("id", "symbol", F.lit(True).alias("off")).distinct()
+    same = F.concat("symbol", F.lit(" (현행과같음)"))
+    return texts.join(marked, ["id", "symbol"], "left").select("id", "block", "symbol", F.when(F.col("off"), same).otherwise(F.col("text")).alias("text"))

@@ -280,7 +280,13 @@ def keyword_topic_links(spark, sf_dir):
     return links.keyword_links(rows)
 
 
-@_query()
+@_query(f"""with {PARTS_SQL}, l as (select source_jo as jo_no, '법' || (l_partkey % 4) as law_name, case when l_partkey % 3 = 2 then '' else '제' || (l_partkey % 10) || '조' end as article,
+  '사유' || (l_partkey % 2) as reason, cast(l_partkey % 3 as integer) as rank from cites),
+r as (select *, row_number() over (partition by jo_no, law_name, case when article = '' then '#' || reason else article end order by rank, law_name, article, reason) as n from l),
+g as (select jo_no, list('  - ' || law_name || ' ' || case when article = '' then '(조문 미특정)' else article end || ': ' || reason order by rank, law_name, article, reason) as lines from r where n = 1 group by 1),
+t as (select *, row_number() over (order by cast(jo_no as integer)) as k from g)
+select cast(-1 as bigint) as place, '# ' || count(*) || '/' || count(*) as text from g
+union all select cast(jo_no as bigint), '- ' || jo_no || ' 감면' || chr(10) || array_to_string(lines[1:8], chr(10)) || case when len(lines) > 8 then chr(10) || '  - 외 ' || (len(lines) - 8) || '건' else '' end from t where k <= 80""")
 def link_records_summary(spark, sf_dir):
     """The Markdown summary of the link records."""
     rows = articles(spark, sf_dir).select("jo_no", "ordinal", F.lit("감면").alias("title"))
@@ -405,7 +411,7 @@ select d.name, case when n.name is null then 'unresolved' when o.name is null th
 from digests d left join now n on d.name = n.name left join old o on d.name = o.name where n.name is null or o.name is null or o.enforced <> n.enforced or o.content_hash <> n.content_hash""")
 def freshness_diff(spark, sf_dir):
     """J13, S7, K1, K5."""
-    digests = content_digests(spark, sf_dir)
+    digests = content_digests(spark, sf_dir).cache()  # a row for each law, read three times
     now = digests.where("name <> '법률7'").withColumns({"mst": F.lit("m"), "enforced": F.lit("20260101")})
     old = digests.where("name <> '법률5'").withColumns({"mst": F.lit("m"), "enforced": F.when(F.col("name") == "법률2", "20250101").otherwise("20260101"), "content_hash": F.when(F.col("name") == "법률3", "x").otherwise(F.col("content_hash"))})
     return freshness.compare(digests, now, old)

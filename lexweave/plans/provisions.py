@@ -482,3 +482,34 @@ select id, head || chr(10) || case id % 3 when 1 then '① (현행과같음)' ||
 def amended_displays(spark, sf_dir):
     """paragraphs; items are masked and have fixtures of their own."""
     return _shown(spark, sf_dir, display.amended_display, F.lit("① (현행과같음)\n② (현행과같음)\n③ 끝 <u>항</u>")).where("id % 3 <> 2")
+
+
+@_query(f"""with {_PARTS_SQL} select id, '① (현행과같음)' || chr(10) || '② 바 <u>새 ' || h || '</u> 끝' || chr(10) || '  - - - - - -' || chr(10) || '③ (현행과같음)' as new_cell,
+  '① 가 <del>' || h || '</del>' || chr(10) || '② (생략)' || chr(10) || '③ (생략)' as old_cell from p""")
+def table_cells(spark, sf_dir):
+    """F38, K6, F36, F37."""
+    new = _join("① 가나다라마 ② 바 <u>새 ", "$h", "</u> 끝\n  1. 하위 줄 ", "$o", "\n③ (현행과같음)")
+    old = _join("① 가 <del>", "$h", "</del>\n② 나", "$o", "③ (생략)")
+    return _parts(spark, sf_dir).select("id", F.regexp_replace(display.cells(display.new_cell, new), " +\n", "\n").alias("new_cell"), F.regexp_replace(display.cells(display.old_cell, old), " +\n", "\n").alias("old_cell"))
+
+
+@_query(f"""with {_PARTS_SQL}, n as (select *, h || '원' as old, o || '만' as new from p)
+select id, '개정' as side, 1 as block, '①' as symbol, '① 첫 <u>' || new || '</u>' as text from n union all select id, '개정', 2, '②', '② (현행과같음)' from n
+union all select id, '개정', 3, '③', '③ 셋 ' || case when form = 0 then '<u>' || new || '</u>' else old end from n where form <> 1 union all select id, '개정', 3, '③', '③ (현행과같음)' from n where form = 1
+union all select id, '개정', 4, '④', '④ 넷 <u>' || new || '</u> <u>끝남</u>' from n
+union all select id, '현행', 1, '①', '① 첫 <del>' || old || '</del>' from n union all select id, '현행', 2, '②', '② (생략)' from n
+union all select id, '현행', 3, '③', case when form = 0 then '③ 셋 <del>' || old || '</del>' else '③ 셋 ' || old end from n union all select id, '현행', 4, '④', '④ 넷 <del>' || old || '</del> <del>끝</del>' from n""")
+def applied_changes(spark, sf_dir):
+    """F41, A11."""
+    rows = _parts(spark, sf_dir).withColumn("old", _join("$h", "원")).withColumn("new", _join("$o", "만"))
+    text = lambda *lines: compare.blocks(compare.lines_of(rows.select("id", F.concat_ws("\n", *lines).alias("text"))))
+    original = text(_join("① 첫 ", "$old"), F.lit("② 둘"), _join("③ 셋 ", "$old"), _join("④ 넷 ", "$old", " 끝"))
+    amended = text(F.lit("① (현행과같음)"), F.lit("② (현행과같음)"), _join("③ 셋 ", "$old"))
+    current = text(F.lit("① (생략)"), F.lit("② (생략)"), _join("③ 셋 ", "$old"))
+    edit = lambda symbol, seq, old, new, where=F.lit(True): rows.where(where).select("id", F.lit(symbol).alias("symbol"), F.lit(seq).alias("seq"), old.alias("old_text"), new.alias("new_text"))
+    old, new = F.col("old"), F.col("new")
+    changes = edit("①", 0, old, new).unionByName(edit("③", 1, old, new, F.col("form") == 0)).unionByName(edit("④", 2, old, new)).unionByName(edit("④", 3, F.lit("끝"), F.lit("끝남")))
+    unchecked = rows.where("form = 1").select("id", F.lit("③").alias("symbol"))
+    sides = {"개정": compare.apply_overrides(compare.apply_changes(amended, changes, original), unchecked), "현행": compare.apply_changes(current, changes, original, struck=True)}
+    both = [frame.select("id", F.lit(name).alias("side"), F.col("block").cast("int").alias("block"), "symbol", "text") for name, frame in sides.items()]
+    return both[0].unionByName(both[1])

@@ -12,9 +12,25 @@ def write_manifest(snapshots: DataFrame, path: str, checked_at: str) -> None:
     rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("laws")).select(F.lit(checked_at).alias("checked_at"), "laws").write.mode("overwrite").json(path)
 
 
-def write_graph(edges: DataFrame, path: str) -> None:
-    """K2: Parquet, partitioned by source law and sorted by target."""
-    edges.repartition("source_law").sortWithinPartitions("target_law", "target_ref").write.mode("overwrite").partitionBy("source_law").parquet(path)
+# Laws of a citation graph.
+GRAPH_LAWS = ("소득세법", "소득세법 시행령")
+EXTENDED_GRAPH_LAWS = (*GRAPH_LAWS, "법인세법", "법인세법 시행령", "부가가치세법", "부가가치세법 시행령")
+
+
+def graph_scope(extended: bool = False, manifest: DataFrame | None = None) -> list[str]:
+    """K2: the laws of a graph: two, six, or all of a manifest (a few rows)."""
+    if manifest is not None:
+        return [r.name for r in manifest.select("name").distinct().orderBy("name").collect()]
+    return list(EXTENDED_GRAPH_LAWS if extended else GRAPH_LAWS)
+
+
+def write_graph(edges: DataFrame, path: str, built_at: str = "", laws: list[str] | None = None, files: int = 8) -> None:
+    """K2: ``edges``, partitioned by source law, a law's in up to ``files``
+    files sorted by target, and ``meta``: date, laws and number of edges."""
+    part = F.pmod(F.xxhash64("target_law", "target_ref"), F.lit(files))
+    edges.repartition("source_law", part).sortWithinPartitions("source_law", "target_law", "target_ref").write.mode("overwrite").partitionBy("source_law").parquet(f"{path}/edges")
+    named = F.array(*[F.lit(x) for x in laws or ()]).cast("array<string>")
+    edges.agg(F.count("*").alias("edge_count")).select(F.lit(built_at).alias("built_at"), named.alias("laws"), "edge_count").write.mode("overwrite").json(f"{path}/meta")
 
 
 def write_records(records: DataFrame, path: str) -> None:
