@@ -150,7 +150,7 @@ def _joined(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, cache_words: int = CACHE_WORDS, chunk_bytes: int = CHUNK_BYTES) -> Stored:
+def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, cache_words: int = CACHE_WORDS, chunk_bytes: int = CHUNK_BYTES, keep_tokenizer: bool = True) -> Stored:
     """Written ``(id, part, row, start, length, ids_crc32, doc_tokens)``.
 
     ``part`` and ``row`` number the pieces by the task that wrote them and
@@ -176,6 +176,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 place = [pa.array(np.full(len(rows), part, np.int32)), pa.array(done + np.arange(len(rows)))]
                 done += len(rows)
                 yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), *place, *(pa.array(x, pa.int64()) for x in out)], names=["id", "part", "row", "start", "length", "ids_crc32", "doc_tokens"])
+        if not keep_tokenizer:
+            _tokenizers.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
@@ -300,20 +302,21 @@ def _ranked(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("inside", F.row_number().over(inside) - 1).join(before, [key, "part"]).withColumn("rank", F.col("before") + F.col("inside")).drop("before", "inside")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, grain: int = GRAIN, cache_words: int = CACHE_WORDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, grain: int = GRAIN, cache_words: int = CACHE_WORDS, chunk_bytes: int = CHUNK_BYTES, keep_tokenizer: bool = True) -> DataFrame:
     """One row per piece: ``(id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset)``, all long but the id.
 
     Sequences hold at most ``capacity`` ids without gaps.  A document is
     cut at multiples of half of it only.  ``cache_words`` and ``chunk_bytes``
-    trade a worker's memory for time; results don't depend on them.
+    trade a worker's memory for time, as does keeping its tokenizer for the
+    next task; results don't depend on them.
 
     * null and empty texts have the end id alone; very long texts are cut like
       any other; rows that repeat an id are packed like different documents;
     * a null id is kept; other columns are ignored, whatever their names;
     * an empty table gives an empty result.
     """
-    parts = pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, cache_words, chunk_bytes).frame
+    parts = pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, cache_words, chunk_bytes, keep_tokenizer).frame
     spark = docs.sparkSession
     size = F.ceil(F.col("length") / F.lit(grain)).cast("int")
     parts = parts.withColumn("class", F.when(F.col("length") < capacity, size).otherwise(F.lit(0)))
