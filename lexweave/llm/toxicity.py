@@ -162,9 +162,9 @@ class Lexicon:
         return self.terms[found[0]] * 0.8 ** found[1], found[1]
 
 
-def induce_lexicon(texts: list[set[str]], labels: list[int], least: int = 4, ratio: float = 12.0) -> Lexicon:
-    """Words and stems that mark toxic texts, given as their sets of words, by
-    document frequency.
+def induce_lexicon(texts: list[tuple[str, ...]], labels: list[int], least: int = 4, ratio: float = 12.0) -> Lexicon:
+    """Words and stems that mark toxic texts, given as their different words,
+    by document frequency.
 
     A stem stands for the words that begin with it if most of them are marks;
     clean words in reach of the automaton are listed so as to spare them.
@@ -296,7 +296,9 @@ class ToxicityModel:
             beta = np.zeros(FEATURES)
             beta[:3] = (-3.0, 3.0, 1.0)
             return cls(Lexicon({term: 1.0 for term in SEED_TERMS}), beta)
-        rows, words = np.zeros((len(texts), FEATURES)), [set(tokens_of(text)) for text in texts]
+        rows = np.zeros((len(texts), FEATURES))
+        same: dict[str, str] = {}  # one object for each word
+        words = [tuple({same.setdefault(word, word) for word in tokens_of(text)}) for text in texts]
         for part in (0, 1):
             learn = [k for k in range(len(texts)) if k % 2 != part]
             counts = Counts(induce_lexicon([words[k] for k in learn], [labels[k] for k in learn]))
