@@ -93,3 +93,32 @@ def test_passages_of_rows_that_share_an_id(spark):
     found = [tuple(r)[:4] for r in got.select("doc_id", "text", "lang", "source", "n_chars").collect()]
     assert sorted(found, key=repr) == sorted(expected, key=repr)
     assert all(r.n_chars == len(r.text) for r in got.collect())
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls, empty, long and repeated texts, rows of one id or of none, no rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").where("length(text) > 60").orderBy("item_id").first().text
+    english, french = "the house and the garden with the river " * 6, "la maison et le jardin avec la rivière " * 6
+    rows = [(k, f"{t} {k}", lang, "s", 1) for k in range(20) for t, lang in ((english, "en"), (french, "fr"))]
+    rows += [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \t", None, "s", 1), (None, english, "en", "s", 1), (None, french, None, "s", 1), (7, "1234 !?", "en", "s", 1), (8, english * 300, "en", "s", 1)]
+    rows += [rows[0], rows[0], (5, f"before {item} after", "en", "s", 1), (5, "nothing of it", "en", "s", 1), (None, item.upper(), None, None, None)]
+    frame = spark.createDataFrame(rows, schema)
+    texts = lambda found: sorted(((r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "", r.lang or "") for r in found.collect()))
+    plain = lambda kept: sorted((i is not None, i or 0, t is not None, t or "", lang or "") for i, t, lang, *_ in kept)
+
+    kept = corpus_pipeline.language(spark, frame, DIR)
+    found = texts(kept)
+    assert kept.columns == frame.columns and set(found) <= set(plain(rows))
+    assert not any(not any(c.isalpha() for c in t) for *_, t, _ in found)
+    assert found.count((True, 0, True, rows[0][1], "en")) == 3 and (False, 0, True, french, "") in found and (True, 8, True, english * 300, "en") in found
+
+    clean = corpus_pipeline.benchmark_leaks(spark, frame, DIR)
+    assert clean.columns == frame.columns
+    assert texts(clean) == plain([r for r in rows if item.lower() not in (r[1] or "").lower()])
+
+    packed = corpus_pipeline.sequences(spark, frame, DIR).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in packed if r.start == 0) == sorted((r[0] is not None, r[0] or 0) for r in rows)
+    assert sum(r.length for r in packed) == sum(r.doc_tokens for r in packed if r.start == 0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame.limit(0), DIR).count() == 0
