@@ -126,3 +126,16 @@ def test_similar_titles(spark):
             expected[a[0]] = (min(found)[1], -min(found)[0])
     got = parallel.similar_titles(frame.withColumnRenamed("ordinal", "id"), frame, same=True).collect()
     assert {r.id: (r.ordinal, r.score) for r in got} == expected and len(got) == len(expected) > 30
+
+
+def test_applied_changes_are_merged(spark):
+    """However small Spark takes the sides for, none goes through the driver."""
+    texts = spark.createDataFrame([(1, 1, "①", "① (현행과같음)"), (1, 3, "③", "③ 셋 5원"), (2, 1, "①", "① 하나")], "id long, block int, symbol string, text string")
+    originals = spark.createDataFrame([(1, 1, "①", "① 첫 5원"), (1, 4, "④", "④ 넷 5원")], "id long, block int, symbol string, text string")
+    changes = spark.createDataFrame([(1, "①", 0, "5원", "7만"), (1, "④", 1, "넷", "네")], "id long, symbol string, seq int, old_text string, new_text string")
+    unchecked = spark.createDataFrame([(1, "③")], "id long, symbol string")
+    found = compare.apply_overrides(compare.apply_changes(texts, changes, originals), unchecked)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(tuple(r) for r in found.collect())
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()  # as adapted
+    assert got == [(1, 1, "①", "① 첫 <u>7만</u>"), (1, 3, "③", "③ (현행과같음)"), (1, 4, "④", "④ <u>네</u> 5원"), (2, 1, "①", "① 하나")]
