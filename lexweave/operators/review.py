@@ -151,13 +151,16 @@ def merged_lines(first: Column, second: Column) -> Column:
 def build_queue(sources: list[DataFrame]) -> DataFrame:
     """U4: ``(law_name, article_ref, source, symbol, label, reason, suggested,
     seq)`` rows of all sources with tier and id, one per id; a required row
-    replaces one that isn't, else the first stays.  Rows with a column ``id``
-    are the queues of several articles."""
+    replaces one that isn't, else the first stays; of rows alike in that, a
+    suggested one, then the least by the other columns in their order.  Rows
+    with a column ``id`` are the queues of several articles."""
     rows = reduce(DataFrame.unionByName, sources)
     rows = rows.withColumn("tier", tier(F.col("source"), F.col("suggested"), F.col("reason"))).withColumn("candidate_id", candidate_id(F.col("law_name"), F.col("article_ref"), F.col("source"), F.col("symbol")))
     rows = rows.withColumn("source_rank", F.coalesce(F.nullif(F.array_position(strings(SOURCES), F.col("source")), F.lit(0)) - 1, F.lit(len(SOURCES))).cast("int"))
     own = [x for x in ("id",) if x in rows.columns]
-    order = Window.partitionBy(*own, "candidate_id").orderBy(F.when(F.col("tier") == "required", 0).otherwise(1), "source_rank", "seq", "label", "reason")
+    used = {*own, "law_name", "article_ref", "source", "symbol", "label", "reason", "suggested", "seq", "tier", "candidate_id", "source_rank"}
+    rest = [f"`{name}`" for name, kind in rows.dtypes if name not in used and "map<" not in kind]
+    order = Window.partitionBy(*own, "candidate_id").orderBy(F.when(F.col("tier") == "required", 0).otherwise(1), "source_rank", "seq", "label", "reason", F.desc("suggested"), *rest, "law_name", "article_ref", "symbol")
     return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 

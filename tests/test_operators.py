@@ -89,6 +89,15 @@ def test_queue_upgrade(spark):
     assert (row.label, row.new_text, row.suggested) == ("소득세법 제127조", "100분의 2", False)
 
 
+def test_queue_of_tied_rows(spark):
+    """Rows alike in the queue's order are chosen by their values, not by where they come from."""
+    schema = "law_name string, article_ref string, source string, symbol string, label string, reason string, suggested boolean, seq int, new_text string, extra map<string, int>"
+    rows = [("법", "1", "gpt", "", "a", "일반", suggested, 0, text, {"k": 1}) for suggested in (False, True) for text in ("나", "가", None, "다")]
+    for order in (rows, rows[::-1], rows[4:] + rows[:4]):
+        (row,) = review.build_queue([spark.createDataFrame(order, schema).coalesce(1)]).collect()
+        assert (row.suggested, row.new_text) == (True, None)
+
+
 def test_statute_xml(spark, tmp_path):
     (tmp_path / "law.xml").write_text("<법령><조문단위><조문번호>27</조문번호><조문가지번호>2</조문가지번호><조문여부>조문</조문여부><조문제목>한도</조문제목><조문내용>제27조의2(한도)</조문내용><항><항내용>① 가</항내용><호><호내용>1. 나</호내용><목><목내용>가. 다</목내용></목></호></항></조문단위><조문단위><조문번호>1</조문번호><조문여부>전문</조문여부><조문내용>장</조문내용></조문단위></법령>")
     (row,) = statutes.read_statute(spark, str(tmp_path / "law.xml")).collect()
