@@ -181,7 +181,8 @@ def _search(width: int, k: int):
         current, best, queries, table = None, None, None, None
         share = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for block, ids, rows, q_table, c_ids, c_rows, c_table in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            for n in range(batch.num_rows):  # a row is large
+                block, ids, rows, q_table, c_ids, c_rows, c_table = (column[n].as_py() for column in batch.columns)
                 if block != current:
                     if best is not None:
                         yield best.batch(share)
@@ -222,7 +223,9 @@ def _found(vectors: DataFrame, is_query, id_col: str, vector_col: str, k: int, s
     place = F.shiftright("c_block", 32) + F.col("c_block").bitwiseAND(F.lit((1 << 32) - 1)) * max(1, min(parts, -(-total // BLOCK)))
     striped = candidates.withColumn("stripe", F.pmod(place, F.lit(stripes)))
     spread = queries.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))).withColumn("stripe", F.col("stripe").cast("long"))
-    pairs = spread.join(striped, "stripe").select("q_block", "q_ids", "q_rows", "q_table", "c_ids", "c_rows", "c_table")
+    # Blocks of copies are small files, but whole again in memory, and queries
+    # come once for each stripe: neither side is broadcast.
+    pairs = spread.hint("merge").join(striped, "stripe").select("q_block", "q_ids", "q_rows", "q_table", "c_ids", "c_rows", "c_table")
     return arrow_map(pairs, _search(width, k), _FOUND)
 
 

@@ -732,6 +732,17 @@ def test_topk_ids_and_bounds(spark):
         topk.top_k(frame.withColumn("vec_id", F.col("vec_id").cast("string")), asked)
 
 
+def test_topk_of_copies_is_not_broadcast(spark):
+    """Blocks of copies compress to small files, but are not small in memory."""
+    vectors = [(i, [float((i % 3 + k) % 5) / 8 for k in range(16)]) for i in range(600)]
+    found = topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), F.col("id") % 20 == 0, k=4)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in found.collect()}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    x = np.floor(64 * np.array([v for _, v in vectors], np.float32).astype(float))
+    best = {q: sorted((-int(s), i) for i, s in enumerate(x @ x[q]) if i != q)[:4] for q in range(0, 600, 20)}
+    assert got == {(q, n): (i, -s) for q, rows in best.items() for n, (s, i) in enumerate(rows, 1)}
+
+
 def test_near_copies_of_a_large_group(spark):
     """A group that is dealt out in parts keeps one text of its copies."""
     rng = random.Random(13)
