@@ -322,8 +322,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(labels, "fingerprint").select("id", "fingerprint", "component")
 
 
-def _heads(sets: list[np.ndarray], least: Fraction) -> list[int]:
-    """The first of each component of "Jaccard similarity at least ``least``".
+def _heads(sets: list[np.ndarray], least: Fraction) -> np.ndarray:
+    """For each set the first of its component of "Jaccard similarity at least
+    ``least``".
 
     Breadth-first search through lists of the sets that hold a shingle: what
     is found leaves the search, and all pairs are compared only where no two
@@ -336,12 +337,11 @@ def _heads(sets: list[np.ndarray], least: Fraction) -> list[int]:
     holders = np.repeat(np.arange(len(sets)), sizes)[order]
     bounds = np.searchsorted(code[order], np.arange(len(values) + 1))
     left = np.ones(len(sets), bool)
-    heads = []
+    heads = np.arange(len(sets))
     for head in range(len(sets)):
         if not left[head]:
             continue
         left[head] = False
-        heads.append(head)
         frontier = [head]
         while frontier and left.any():
             node = frontier.pop()
@@ -351,13 +351,15 @@ def _heads(sets: list[np.ndarray], least: Fraction) -> list[int]:
             common = np.bincount(holders[at], minlength=len(sets))
             found = np.flatnonzero(left & (common * least.denominator >= (sizes + sizes[node] - common) * least.numerator))
             left[found] = False
+            heads[found] = head
             frontier += found.tolist()
     return heads
 
 
 def _part_heads(rows: DataFrame, shingle: int, least: float):
-    """Frame, function and schema for ``(group, id, hash, size, parts)`` of the
-    first text of each similar group within each ``(group, part)`` of ``rows``."""
+    """Frame, function and schema for ``(group, id, hash, size, parts, head)``:
+    each text within its ``(group, part)`` of ``rows``, with the hash of the
+    first text that it is similar to there."""
     ratio = Fraction(str(least))
     names = ("group", "id", "hash", "size", "parts")
 
@@ -365,8 +367,8 @@ def _part_heads(rows: DataFrame, shingle: int, least: float):
         place, held, sets = None, [], []
 
         def closed():
-            first = [held[k] for k in _heads(sets, ratio)]
-            return pa.record_batch([pa.concat_arrays([x[k] for x in first]) for k in range(len(names))], names=names)
+            columns = [pa.concat_arrays([x[k] for x in held]) for k in range(len(names))]
+            return pa.record_batch([*columns, columns[2].take(pa.array(_heads(sets, ratio)))], names=[*names, "head"])
 
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
@@ -387,7 +389,7 @@ def _part_heads(rows: DataFrame, shingle: int, least: float):
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(parts, "group", "part").sortWithinPartitions("group", "part", "id", "hash")
     kind = rows.schema["id"].dataType.simpleString()
-    return ordered.select("part", *names, text_of("text").alias("text")), run, f"group long, id {kind}, hash long, size long, parts long"
+    return ordered.select("part", *names, text_of("text").alias("text")), run, f"group long, id {kind}, hash long, size long, parts long, head long"
 
 
 def similar_heads(rivals: DataFrame, texts: DataFrame, shingle: int = 5, least: float = 0.8, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -401,23 +403,62 @@ def similar_heads(rivals: DataFrame, texts: DataFrame, shingle: int = 5, least:
     those that a fingerprint links.  Texts without words are alike.
 
     A group of over ``part_bytes`` is dealt out in parts of about so much, of
-    16 texts at least, one task each; what stays of it meets again in the next
-    round, dealt out anew, until it is one part or two rounds find nothing.  So
-    a text only goes for one that it is linked to; in a group of that size two
-    texts that are linked through texts of different parts alone may both stay.
+    16 texts at least, one task each; the first texts of a part meet again in
+    the next round, dealt out anew, until they are one part or two rounds find
+    nothing.  What is not linked to the bulk of its group by then is compared
+    with all of the group, so that the result is that of one part: of any two
+    texts that are not linked yet, one at least is not in the bulk.
     """
-    rivals, idle = stored(rivals.select("group", "id", "hash", "size"), "candidates"), 0
-    stays = []
+    rivals = stored(rivals.select("group", "id", "hash", "size"), "candidates").frame
+
+    def compared(dealt: DataFrame, rows: int, label: str) -> DataFrame:
+        """The first similar texts within the parts of ``dealt``."""
+        named = small(dealt, rows).withColumnsRenamed({"id": "rid", "hash": "rhash"})
+        whole = texts.join(named, F.col("id").eqNullSafe(F.col("rid")) & (F.col("hash") == F.col("rhash"))).drop("rid", "rhash")
+        return stored_map(*_part_heads(whole, shingle, least), label).frame
+
+    def parts_of(bytes_of: int):
+        return F.greatest(F.least(F.ceil(F.sum("size") / bytes_of), F.floor(F.count("*") / 16)), F.lit(1)).cast("long")
+
+    def links(found: DataFrame) -> DataFrame:
+        return found.where("hash <> head").select(F.xxhash64("group", "hash").alias("a"), F.xxhash64("group", "head").alias("b"))
+
+    edges, large, idle, meeting = [], None, 0, stored(rivals, "meeting")
     for number in range(1000):
-        enough = F.least(F.ceil(F.sum("size") / part_bytes), F.floor(F.count("*") / 16)).cast("long")
-        sizes = written(rivals.frame.groupBy("group").agg(F.greatest(enough, F.lit(1)).alias("parts")), "group-sizes")
-        dealt = rivals.frame.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("hash", F.lit(number)), "parts"))
-        whole = texts.join(small(dealt, rivals.rows).withColumnsRenamed({"id": "rid", "hash": "rhash"}), F.col("id").eqNullSafe(F.col("rid")) & (F.col("hash") == F.col("rhash"))).drop("rid", "rhash")
-        heads = stored_map(*_part_heads(whole, shingle, least), "heads").frame
-        stays.append(heads.where("parts = 1").select("hash"))
-        rest = stored(heads.where("parts > 1").select("group", "id", "hash", "size"), "candidates")
-        idle = idle + 1 if rest.rows == rivals.rows else 0
-        rivals = rest
+        sizes = written(meeting.frame.groupBy("group").agg(parts_of(part_bytes).alias("parts")), "group-sizes")
+        dealt = meeting.frame.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("hash", F.lit(number)), "parts"))
+        found = compared(dealt, meeting.rows, "heads")
+        if large is None:
+            stays = found.where("parts = 1 and hash = head").select("hash")
+            large, found = rivals.join(sizes.where("parts > 1"), "group").drop("parts"), found.where("parts > 1")
+        edges.append(links(found))
+        rest = stored(found.where("parts > 1 and hash = head").select("group", "id", "hash", "size"), "meeting")
+        if not number and not rest.rows:
+            return stays
+        idle = idle + 1 if rest.rows == meeting.rows else 0
+        meeting = rest
         if not rest.rows or idle == 2:
             break
-    return reduce(DataFrame.unionByName, [*stays, rivals.frame.select("hash")])
+
+    def rooted(links: list[DataFrame], label: str) -> DataFrame:
+        """The texts of large groups with their components' numbers."""
+        roots = connected_components(reduce(DataFrame.unionByName, links))
+        numbered = large.withColumn("node", F.xxhash64("group", "hash")).join(roots, "node", "left")
+        return written(numbered.select("group", "id", "hash", "size", F.coalesce("root", "node").alias("root")), label)
+
+    linked = rooted(edges, "linked")
+    bulk = linked.groupBy("group", "root").agg(F.sum("size").alias("bytes")).groupBy("group").agg(F.max_by("root", F.struct("bytes", "root")).alias("bulk"))
+    # A task has a part of either side, each of half as many bytes.
+    outside = stored(linked.join(bulk, "group").where("root <> bulk").select("group", "id", "hash", "size"), "outside")
+    if outside.rows:
+        rows, columns = (x.groupBy("group").agg(parts_of(part_bytes // 2).alias(name)) for x, name in ((outside.frame, "rows"), (linked, "columns")))
+        grid = written(rows.join(columns, "group").select("group", "rows", "columns"), "grid")
+        at = lambda name: F.pmod(F.xxhash64("hash", F.lit(name)), name)
+        each = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+        own = outside.frame.join(grid, "group").withColumn("row", at("rows")).withColumn("column", each("columns"))
+        all_of = linked.drop("root").join(grid, "group").withColumn("column", at("columns")).withColumn("row", each("rows"))
+        cells = own.unionByName(all_of).select("group", "id", "hash", "size", F.lit(1).cast("long").alias("parts"), (F.col("row") * F.col("columns") + F.col("column")).alias("part"))
+        cells = stored(cells, "cells")
+        linked = rooted([*edges, links(compared(cells.frame, cells.rows, "crossed"))], "crossed-linked")
+    firsts = linked.groupBy("group", "root").agg(F.min(F.struct("id", "hash")).alias("first"))
+    return stays.unionByName(firsts.select(F.col("first.hash").alias("hash")))

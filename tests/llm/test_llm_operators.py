@@ -757,3 +757,19 @@ def test_near_copies_of_a_large_group(spark):
     whole = {r.hash for r in simhash.similar_heads(frame, frame.select("id", "hash", "text")).collect()}
     parts = {r.hash for r in simhash.similar_heads(frame, frame.select("id", "hash", "text"), part_bytes=16_000).collect()}
     assert whole == parts == {0, *range(200, 240)}
+
+
+def test_parts_of_a_large_group_lose_no_link(spark):
+    """Chains whose neighbours alone are similar give what one part gives."""
+    rows = []
+    for chain in range(24):
+        words = [f"c{chain}w{k}" for k in range(140)]
+        # Windows that move by 5 words: next ones have a similarity of 91 / 101, those three apart one of 81 / 111.
+        for k in range(8):
+            rows.append((1 + chain % 2, 100 * chain + (k * 5) % 8, 1000 * chain + k, 700, " ".join(words[5 * k : 5 * k + 100])))
+    rows += [(1, None, -5, 700, "one two"), (1, 7_000, -6, 700, ""), (1, 7_001, -7, 700, None)]
+    frame = spark.createDataFrame(rows, "group long, id long, hash long, size long, text string")
+    texts = frame.select("id", "hash", "text")
+    expected = sorted([*(1000 * chain for chain in range(24)), -5, -6])
+    for part_bytes in (8 << 20, 40_000, 12_000):
+        assert sorted(r.hash for r in simhash.similar_heads(frame, texts, part_bytes=part_bytes).collect()) == expected, part_bytes
